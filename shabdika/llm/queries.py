@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encoding, lookalike
+from ..session import cut
+from ..sources.tables import latest
+from . import containers, encoding, lookalike, mixing, naming, pieces, quota, splits, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +47,141 @@ def p3_one_form(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "index_test").select(F.lit("index_test").alias("table_name"), F.col("row_id").alias("rec_id"), "text")
     both = a.unionByName(b)
     return lookalike.one_form(both, lookalike.classes(lookalike.character_counts([both]))).select("table_name", "rec_id", "one_form").distinct()
+
+
+def _document_links(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between every spelling of a document and its key, from pages and crops."""
+    pages = table(spark, d, "detections_20261017_203514").select(F.col("image").alias("path"))
+    crops = table(spark, d, "index_test").select(F.col("image_path").alias("path"))
+    paths = pages.unionByName(crops).filter("path is not null")
+    return paths.select(F.concat(F.lit("name:"), naming.spelt_doc(F.col("path"))).alias("a"), F.concat(F.lit("doc:"), naming.doc_key(F.col("path"))).alias("b")).distinct()
+
+
+def _in_components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The crops with the component of their document, and the components' vertices."""
+    parts = cut(splits.components(_document_links(spark, d)))
+    crops = table(spark, d, "index_test").select("row_id", "split", F.concat(F.lit("name:"), naming.spelt_doc(F.col("image_path"))).alias("vertex"))
+    return crops.join(parts, "vertex"), parts
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose index rows stand in more than one split."""
+    crops, parts = _in_components(spark, d)
+    torn = crops.groupBy("component").agg(F.count_distinct("split").alias("n")).filter("n > 1")
+    keys = parts.filter("vertex like 'doc:%'").select("component", F.substring("vertex", 5, 1000).alias("doc_key"))
+    return keys.join(torn.select("component"), "component").select("doc_key").distinct()
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    parts = cut(splits.components(_document_links(spark, d)))
+    pages = table(spark, d, "detections_20261017_203514").select(F.col("image").alias("path")).distinct()
+    crops = table(spark, d, "index_test").select("row_id", F.col("image_path").alias("path")).distinct().select("path")
+    names = pages.unionByName(crops).select(F.concat(F.lit("name:"), naming.spelt_doc(F.col("path"))).alias("vertex")).groupBy("vertex").count()
+    weights = names.join(parts, "vertex").groupBy("component").agg(F.sum("count").alias("weight"))
+    target = [(r.split_name, r.share_pct) for r in table(spark, d, "split_target").collect()]
+    keys = parts.filter("vertex like 'doc:%'").select("component", F.substring("vertex", 5, 1000).alias("doc_key"))
+    return splits.assign(weights, target).join(keys, "component")
+
+
+@query
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its split and its number of pages and crops."""
+    return _assigned(spark, d).select("doc_key", "weight", "split")
+
+
+@query
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of pages and crops that each split got, against its target."""
+    got = _assigned(spark, d).groupBy("split").agg(F.sum("weight").alias("records"), F.count("*").alias("documents"))
+    whole = got.agg(F.sum("records").alias("whole"))
+    t = table(spark, d, "split_target").select(F.col("split_name").alias("split"), "share_pct")
+    return t.join(got, "split", "left").crossJoin(whole).select("split", "share_pct", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("documents", F.lit(0)).alias("documents"), F.round(100 * F.coalesce("records", F.lit(0)) / F.col("whole"), 3).alias("actual_pct"))
+
+
+_FIELDS = ["language", "domain", "scan_type"]
+
+
+def _sampling(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple], dict[tuple, int], int]:
+    pages = latest(table(spark, d, "metadata").select("line_id", *_FIELDS, "loaded_at"), "line_id").drop("loaded_at")
+    pages = cut(quota.categorised(pages, table(spark, d, "category_alias"), _FIELDS))
+    targets = [tuple(r) for r in table(spark, d, "sample_target").select("field_name", "category", "share_pct", "min_pages").collect()]
+    have = quota.cells(pages, "line_id", _FIELDS)
+    return pages, targets, have, sum(have.values()) * _setting(spark, d, "sample_pct") // 100
+
+
+def _setting(spark: SparkSession, d: str, name: str) -> int:
+    return table(spark, d, "run_setting").filter(F.col("setting_name") == name).first().setting_value
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Categories of sample_target that the pages can't meet: their slack arc carries pages."""
+    _, targets, have, n = _sampling(spark, d)
+    short = quota.shortfalls(have, quota.needs(targets, n), _FIELDS)
+    return spark.createDataFrame([k for k, v in sorted(short.items()) if v > 0], "field_name string, category string")
+
+
+@query
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The pages drawn, with their categories."""
+    pages, targets, have, n = _sampling(spark, d)
+    return quota.draw(pages, "line_id", _FIELDS, quota.quotas(have, targets, n, _FIELDS)).select("line_id", *_FIELDS)
+
+
+@query
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """For each category of sample_target: pages wanted, available, planned and missing."""
+    _, targets, have, n = _sampling(spark, d)
+    want, plan = quota.needs(targets, n), quota.quotas(have, targets, n, _FIELDS)
+    short = quota.shortfalls(have, want, _FIELDS)
+    rows = [(f, c, want[f, c], sum(v for k, v in have.items() if k[i] == c), sum(v for k, v in plan.items() if k[i] == c), short[f, c]) for i, f in enumerate(_FIELDS) for ff, c, *_ in targets if ff == f]
+    return spark.createDataFrame(rows, "field_name string, category string, wanted long, available long, planned long, short long")
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Crops wider than the limit and the kind of cut they need."""
+    return _pieces(spark, d).select("measure_id", "cut_kind").distinct()
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "measure_row"), _setting(spark, d, "piece_limit_px"), _setting(spark, d, "piece_overlap_px"))
+
+
+@query
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every crop wider than the limit, in pixels at height 32."""
+    return _pieces(spark, d)
+
+
+#: A container of instruction data holds at most so many examples.
+SEGMENTS = 64
+
+
+@query
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or part of one larger than a container, with its container."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cap = _setting(spark, d, "container_tokens")
+    return containers.filled(tokens.counted(docs, head="head"), (cap, SEGMENTS, cap))
+
+
+@query
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix: which document is read in which epoch."""
+    return _mix(spark, d)[0]
+
+
+@query
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mix(spark, d)[1]
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "domain", "text")
+    items = cut(tokens.counted(docs))
+    whole = items.agg(F.sum("tokens")).first()[0] or 0
+    weights = [tuple(r) for r in table(spark, d, "mix_target").select("source", "weight_pct", "max_repeats").collect()]
+    return mixing.mixed(items, weights, whole * _setting(spark, d, "mix_total_tokens_pct") // 100)
