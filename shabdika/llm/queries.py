@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from ..session import cut
 from ..sources.tables import latest
-from . import containers, encoding, lookalike, mixing, naming, pieces, quota, splits, tokens
+from . import containers, encoding, lookalike, mixing, naming, overlap, pieces, quota, splits, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -185,3 +185,23 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     whole = items.agg(F.sum("tokens")).first()[0] or 0
     weights = [tuple(r) for r in table(spark, d, "mix_target").select("source", "weight_pct", "max_repeats").collect()]
     return mixing.mixed(items, weights, whole * _setting(spark, d, "mix_total_tokens_pct") // 100)
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "index_test").select("row_id", "image_path", "text", "split"), naming.line_key(F.col("image_path")))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of index rows, one in train and one in val or test, that hold the same crop or line."""
+    return _overlaps(spark, d).select("row_id_a", "row_id_b")
+
+
+@query
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation split and source: pairs, and evaluation rows that have a partner, by crop and by text."""
+    rows = table(spark, d, "index_test").select("row_id", "split", "source").distinct()
+    pairs = _overlaps(spark, d)
+    ends = pairs.select(F.col("row_id_a").alias("row_id"), "by_crop", "by_text").unionByName(pairs.select(F.col("row_id_b").alias("row_id"), "by_crop", "by_text"))
+    per = ends.groupBy("row_id").agg(F.count("*").alias("n"), F.max("by_crop").alias("c"), F.max("by_text").alias("t"))
+    return per.join(rows.filter("split <> 'train'"), "row_id").groupBy("split", "source").agg(F.sum("n").alias("pairs"), F.count("*").alias("rows"), F.sum(F.col("c").cast("int")).alias("rows_by_crop"), F.sum(F.col("t").cast("int")).alias("rows_by_text"))
