@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from ..session import cut
 from ..sources.tables import latest
-from . import containers, encoding, lookalike, mixing, naming, overlap, pieces, quota, splits, tokens
+from . import containers, encoding, language, lookalike, mixing, naming, overlap, pieces, quota, splits, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -205,3 +205,37 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     ends = pairs.select(F.col("row_id_a").alias("row_id"), "by_crop", "by_text").unionByName(pairs.select(F.col("row_id_b").alias("row_id"), "by_crop", "by_text"))
     per = ends.groupBy("row_id").agg(F.count("*").alias("n"), F.max("by_crop").alias("c"), F.max("by_text").alias("t"))
     return per.join(rows.filter("split <> 'train'"), "row_id").groupBy("split", "source").agg(F.sum("n").alias("pairs"), F.count("*").alias("rows"), F.sum(F.col("c").cast("int")).alias("rows_by_crop"), F.sum(F.col("t").cast("int")).alias("rows_by_text"))
+
+
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, language.Model]:
+    """All records of the three tables with their label; garbled documents restored first."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    code = F.regexp_extract(F.lower("doc_id"), r"^[a-z]+[^a-z0-9]+([a-z]+)[^a-z0-9]", 1)
+    prior = F.when(code == "mar", "mr").when(code == "hin", "hi").when(code == "eng", "en")
+    a = encoding.restored(docs).select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("rec_id"), F.col("lang").alias("label"), "text", F.lit(None).cast("string").alias("prior"), F.lit(False).alias("wrapped"))
+    b = table(spark, d, "regions").filter("type in ('text', 'list')").select(F.lit("regions").alias("table_name"), F.col("region_key").alias("rec_id"), F.col("script").alias("label"), "text", prior.alias("prior"), F.lit(True).alias("wrapped"))
+    c = table(spark, d, "textline").select(F.lit("textline").alias("table_name"), F.col("textline_id").alias("rec_id"), F.col("script").alias("label"), "text", prior.alias("prior"), F.lit(True).alias("wrapped"))
+    return a.unionByName(b).unionByName(c), language.models(docs)
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose label is missing or wrong or whose text mixes languages, one row per language."""
+    rows, model = _labelled(spark, d)
+    found = language.identified(rows, model).filter("case")
+    return found.select("table_name", "rec_id", F.explode("languages").alias("language")).distinct()
+
+
+@query
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of every record with a confidence each."""
+    rows, model = _labelled(spark, d)
+    x = language.identified(rows, model).withColumn("z", F.explode(F.arrays_zip("languages", "confidence")))
+    return x.select("table_name", "rec_id", F.col("z.languages").alias("language"), F.col("z.confidence").alias("confidence"), F.col("case").alias("label_disagrees")).distinct()
+
+
+@query
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of every record with language and confidence."""
+    rows, model = _labelled(spark, d)
+    return language.segments(rows, model).distinct()
