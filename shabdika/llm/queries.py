@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from ..session import cut
 from ..sources.tables import latest
-from . import containers, encoding, language, lookalike, mixing, naming, overlap, pieces, quota, splits, tokens
+from . import containers, encoding, language, lookalike, mixing, naming, ocrtext, overlap, pieces, quota, splits, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -239,3 +239,15 @@ def p7_segments(spark: SparkSession, d: str) -> DataFrame:
     """The segments of every record with language and confidence."""
     rows, model = _labelled(spark, d)
     return language.segments(rows, model).distinct()
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Text lines with noise, one row per line and kind."""
+    return ocrtext.analysed(table(spark, d, "textline"))[0]
+
+
+@query
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous text of every region: no furniture, no broken words, misread words replaced."""
+    return ocrtext.paragraphs(table(spark, d, "textline"))
