@@ -9,10 +9,6 @@ from ..functions.text import strip
 from .layout import FURNITURE
 
 
-def _join(items: str, sep: str, keep: Column | None = None) -> Column:
-    return F.array_join(F.transform(F.array_sort(items), lambda x: x["t"]), sep)
-
-
 def _blank(c: Column) -> Column:
     return c.isNull() | ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
 
@@ -29,8 +25,8 @@ def _join_agg(item: Column, sep: str) -> Column:
 
 def table_text(cells: DataFrame, by: list[str]) -> DataFrame:
     """Cells of (row, col, text): columns joined by " | ", rows by line breaks."""
-    rows = cells.groupBy(*by, "row").agg(_join_agg(F.struct(F.col("col").alias("o"), F.coalesce("text", F.lit("")).alias("t")), " | ").alias("t"))
-    return rows.groupBy(*by).agg(strip(_join_agg(F.struct(F.col("row").alias("o"), "t"), "\n")).alias("text"))
+    rows = cells.groupBy(*by, "row").agg(_join_agg(F.struct(F.col("col").alias("o"), F.coalesce("text", F.lit("")).alias("t")), " | ").alias("_line"))
+    return rows.groupBy(*by).agg(strip(_join_agg(F.struct(F.col("row").alias("o"), F.col("_line").alias("t")), "\n")).alias("text"))
 
 
 def reading_key(*more: str) -> list[Column]:
@@ -58,11 +54,11 @@ def markdown(regions: DataFrame, page: list[str], key: str = "region_id") -> Dat
 def pipe_table(cells: DataFrame, by: list[str]) -> DataFrame:
     """Cells as a Markdown table: pipes escaped, short rows padded, a rule under the first row."""
     t = F.replace(F.coalesce("text", F.lit("")), F.lit("|"), F.lit("\\|"))
-    rows = cells.groupBy(*by, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("col").alias("o"), t.alias("t")))), lambda x: x["t"]).alias("c"))
-    g = rows.groupBy(*by).agg(F.max(F.size("c")).alias("m"), F.array_sort(F.collect_list(F.struct(F.col("row").alias("o"), "c"))).alias("r"))
-    line = lambda x: F.concat(F.lit("| "), F.array_join(F.concat(x["c"], F.array_repeat(F.lit(""), F.col("m") - F.size(x["c"]))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- "), F.col("m")), "|"), F.lit("|"))
-    out = F.transform("r", line)
+    rows = cells.groupBy(*by, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("col").alias("o"), t.alias("t")))), lambda x: x["t"]).alias("_c"))
+    g = rows.groupBy(*by).agg(F.max(F.size("_c")).alias("_m"), F.array_sort(F.collect_list(F.struct(F.col("row").alias("o"), F.col("_c").alias("c")))).alias("_r"))
+    line = lambda x: F.concat(F.lit("| "), F.array_join(F.concat(x["c"], F.array_repeat(F.lit(""), F.col("_m") - F.size(x["c"]))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- "), F.col("_m")), "|"), F.lit("|"))
+    out = F.transform("_r", line)
     return g.select(*by, F.array_join(F.concat(F.slice(out, 1, 1), F.array(rule), F.slice(out, 2, 1 << 30)), "\n").alias("markdown"))
 
 

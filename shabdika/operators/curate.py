@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import first_k, ranked
+
 
 def class_key(c: Column, ampersand: bool = False) -> Column:
     """Lower case, blanks and hyphens as underscores; with `ampersand`, "&" reads "and"."""
@@ -78,8 +80,6 @@ def hashed(key: Column, seed: int = 42) -> Column:
 
 def stratified_sample(rows: DataFrame, by: list[str], k: int, key: str, seed: int = 42) -> DataFrame:
     """k rows of each stratum in seeded order; ranks are cut within salts first, so a hot stratum is never ranked whole."""
-    from .ranks import first_k
-
     return first_k(rows.withColumn("_h", hashed(F.col(key), seed)), by, k, F.col("_h"), F.col(key)).drop("_h", "rank")
 
 
@@ -88,17 +88,8 @@ def stratified_split(rows: DataFrame, by: list[str], key: str, share: float = 0.
 
     The cut is found from counts per hash prefix and then within one prefix, never by ranking a stratum.
     """
-    d = rows.withColumn("_h", hashed(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, 2))
-    c = d.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    c = c.withColumn("_before", F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).withColumn("_n", F.sum("_c").over(w))
-    same = [F.col(f"d.{x}").eqNullSafe(F.col(f"c.{x}")) for x in [*by, "_b"]]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    j = d.alias("d").join(c.alias("c"), cond).select("d.*", "c._before", "c._n")
-    r = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
-    return j.withColumn("split", F.when(F.col("_before") + r <= F.ceil(F.col("_n") * share), "train").otherwise("val")).drop("_h", "_b", "_before", "_n")
+    d = ranked(rows.withColumn("_h", hashed(F.col(key), seed)), by, "_h", key, "_r", "_n")
+    return d.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * share), "train").otherwise("val")).drop("_h", "_r", "_n")
 
 
 def leaked(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -121,18 +112,22 @@ def near_hashes(a: DataFrame, b: DataFrame, bits: int = 4) -> DataFrame:
     return x.join(y, "k").withColumn("distance", d).filter(F.col("distance") <= bits).select("a_id", "b_id", "distance").distinct()
 
 
-def nearest(rows: DataFrame, by: list[str], at: str, mark: Column, key: str) -> DataFrame:
+def nearest(rows: DataFrame, by: list[str], at: str, mark: Column) -> DataFrame:
     """Rows with the distance in `at` to the nearest marked row of their group, before or after; null where there is none."""
-    m = F.when(mark, F.col(at))
-    w = Window.partitionBy(*by).orderBy(at, key)
-    d = rows.withColumn("_p", F.last(m, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(m, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return d.withColumn("nearest", F.least(F.col(at) - F.col("_p"), F.col("_n") - F.col(at))).drop("_p", "_n")
+    # over the distinct positions of a group, not over its rows
+    m = rows.groupBy(*by, at).agg(F.max(F.when(mark, F.col(at))).alias("_m"))
+    w = Window.partitionBy(*by).orderBy(at)
+    m = m.withColumn("_p", F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_f", F.first("_m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    m = m.select(*by, at, F.least(F.col(at) - F.col("_p"), F.col("_f") - F.col(at)).alias("nearest"))
+    same = F.lit(True)
+    for x in [*by, at]:
+        same = same & F.col(f"r.{x}").eqNullSafe(F.col(f"m.{x}"))
+    return rows.alias("r").join(m.alias("m"), same, "left").select("r.*", "m.nearest")
 
 
 def dealt(rows: DataFrame, cell: list[str], key: str, shared: int, fixed: int, people: int, seed: int = 42) -> DataFrame:
     """(key, annotator, tier): the first of each cell shared by all, the next for transcription, the rest dealt in turn by hash."""
-    r = F.row_number().over(Window.partitionBy(*cell).orderBy(hashed(F.col(key), seed), key))
-    d = rows.withColumn("_r", r).withColumn("tier", F.when(F.col("_r") <= shared, "shared").when(F.col("_r") <= shared + fixed, "transcribe").otherwise("pool"))
+    d = ranked(rows.withColumn("_h", hashed(F.col(key), seed)), cell, "_h", key, "_r").withColumn("tier", F.when(F.col("_r") <= shared, "shared").when(F.col("_r") <= shared + fixed, "transcribe").otherwise("pool"))
     who = F.when(F.col("tier") == "shared", F.sequence(F.lit(0), F.lit(people - 1))).otherwise(F.array(F.pmod(F.col("_r"), F.lit(people)).cast("int")))
     return d.select(key, *cell, "tier", F.explode(who).alias("annotator"))
 

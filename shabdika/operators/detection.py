@@ -41,15 +41,17 @@ def pairs(pred: DataFrame, gt: DataFrame, page: str = "page", cls: str = "cls",
     return j.withColumn("iou", g.iou("p", "g")).filter(F.col("iou") > least).select(page, cls, "pseq", "score", "gseq", "iou")
 
 
-def matched(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, page: str = "page", cls: str = "cls") -> DataFrame:
-    """Every prediction with the ground truth it takes (or null): by score, each the best free one at the threshold or above, the first on ties.
+def matched(pred: DataFrame, gt: DataFrame, thresholds: list[float], page: str = "page", cls: str = "cls") -> DataFrame:
+    """For each threshold, every prediction with the ground truth it takes (or null): by score, each the best free one at the threshold or above, the first on ties.
 
-    Candidates come from an equi-join on page and class; the greedy choice is a fold over one page and
-    class. Predictions of a class with no ground truth on its page are kept with null.
+    Candidates come from one equi-join on page and class for all thresholds; the greedy choice is a fold
+    over one page and class. Predictions of a class with no ground truth on its page are kept with null.
     """
-    c = pairs(pred, gt, page, cls).filter(F.col("iou") >= threshold)
-    one = c.groupBy(page, cls, "pseq").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), "gseq"))).alias("gs"))
-    arr = one.groupBy(page, cls).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("pseq"), F.col("gs")))).alias("a"))
+    each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    own = [page, cls, "threshold"]
+    c = pairs(pred, gt, page, cls).filter(F.col("iou") >= min(thresholds)).withColumn("threshold", each).filter("iou >= threshold")
+    one = c.groupBy(*own, "pseq").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), "gseq"))).alias("gs"))
+    arr = one.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("pseq"), F.col("gs")))).alias("a"))
     start = F.struct(F.array().cast("array<long>").alias("used"), F.array().cast("array<struct<p:long,g:long>>").alias("hits"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -58,27 +60,33 @@ def matched(pred: DataFrame, gt: DataFrame, threshold: float = 0.5, page: str =
         hit = F.struct(F.concat(acc["used"], F.array(got)).alias("used"), F.concat(acc["hits"], F.array(F.struct(x["pseq"].cast("long").alias("p"), got.alias("g")))).alias("hits"))
         return F.when(F.size(free) > 0, hit).otherwise(acc)
 
-    hits = arr.select(page, cls, F.explode(F.aggregate("a", start, step)["hits"]).alias("h")).select(page, cls, F.col("h.p").alias("seq"), F.col("h.g").alias("gseq"))
-    return pred.select(page, cls, F.col("seq").cast("long").alias("seq"), "score").join(hits, [page, cls, "seq"], "left")
+    hits = arr.select(*own, F.explode(F.aggregate("a", start, step)["hits"]).alias("h")).select(*own, F.col("h.p").alias("seq"), F.col("h.g").alias("gseq"))
+    return pred.select(page, cls, F.col("seq").cast("long").alias("seq"), "score").withColumn("threshold", each).join(hits, [*own, "seq"], "left")
 
 
 def average_precision(pred: DataFrame, gt: DataFrame, thresholds: list[float], page: str = "page", cls: str = "cls") -> DataFrame:
     """(class, threshold, n_gt, n_pred, ap): all-point AP. As in the usual tool of this field, predictions on pages without ground truth of their class are passed over.
 
-    Running counts are windows per class and threshold over predictions ordered by score, page and key.
+    Running counts over predictions ordered by score, page and key are made in two levels, over score
+    buckets and within one, so that no class is sorted in one task.
     """
     n = gt.groupBy(cls).agg(F.count("*").alias("n_gt"))
     has = gt.select(page, cls).distinct()
-    rows = None
-    for t in thresholds:
-        m = matched(pred.join(has, [page, cls], "left_semi"), gt, t, page, cls).withColumn("threshold", F.lit(t))
-        rows = m if rows is None else rows.unionByName(m)
-    w = Window.partitionBy(cls, "threshold").orderBy(F.desc("score"), page, "seq")
+    rows = matched(pred.join(has, [page, cls], "left_semi"), gt, thresholds, page, cls)
+    own = [cls, "threshold"]
+    r = rows.join(n, cls).withColumn("hit", F.col("gseq").isNotNull().cast("int"))
+    r = r.withColumn("k", F.floor((1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))) * 1000))
+    sums = r.groupBy(*own, "k").agg(F.sum("hit").alias("h"), F.count("*").alias("c"))
+    up = Window.partitionBy(*own).orderBy("k")
+    sums = sums.select(*own, "k", (F.sum("h").over(up) - F.col("h")).alias("h0"), (F.sum("c").over(up) - F.col("c")).alias("c0"))
+    w = Window.partitionBy(*own, "k").orderBy(F.desc("score"), page, "seq")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    r = rows.join(n, cls).withColumn("tp", F.sum(F.col("gseq").isNotNull().cast("int")).over(run)).withColumn("k", F.count("*").over(run))
-    r = r.withColumn("rec", F.col("tp") / F.col("n_gt")).withColumn("prec", F.col("tp") / F.col("k"))
-    r = r.withColumn("best", F.max("prec").over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("step", F.col("rec") - F.lag("rec", 1, 0.0).over(w))
-    ap = r.groupBy(cls, "threshold").agg(F.count("*").alias("n_pred"), F.sum(F.col("step") * F.col("best")).alias("ap"))
+    r = r.join(sums, [*own, "k"]).withColumn("prec", (F.col("h0") + F.sum("hit").over(run)) / (F.col("c0") + F.count("*").over(run)))
+    later = r.groupBy(*own, "k").agg(F.max("prec").alias("m"))
+    later = later.select(*own, "k", F.max("m").over(up.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    best = F.greatest(F.max("prec").over(w.rowsBetween(0, Window.unboundedFollowing)), F.coalesce("after", F.lit(0.0)))
+    r = r.join(later, [*own, "k"]).withColumn("best", best)
+    ap = r.groupBy(*own).agg(F.count("*").alias("n_pred"), F.sum(F.col("hit") / F.col("n_gt") * F.col("best")).alias("ap"))
     grid = n.crossJoin(pred.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double"))  # classes x thresholds
     return grid.join(ap, [cls, "threshold"], "left").select(cls, "threshold", "n_gt", F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
 

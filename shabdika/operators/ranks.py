@@ -36,3 +36,20 @@ def first_k(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     d = df.withColumn("_s", salt)
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
     return d.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k).drop("_s")
+
+
+def ranked(df: DataFrame, by: list[str], order: str, key: str, out: str = "rank", size: str | None = None, prefix: int = 2) -> DataFrame:
+    """Rank of each row in its group by (order, key), `order` being a hex hash; with `size` also the group's size.
+
+    Counts per hash prefix give what stands before, so only rows of one prefix are ever ranked together.
+    """
+    d = df.withColumn("_b", F.substring(order, 1, prefix))
+    w = Window.partitionBy(*by)
+    c = d.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
+    c = c.withColumn("_before", F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).withColumn("_whole", F.sum("_c").over(w))
+    same = F.lit(True)
+    for x in [*by, "_b"]:
+        same = same & F.col(f"d.{x}").eqNullSafe(F.col(f"c.{x}"))
+    j = d.alias("d").join(c.alias("c"), same).select("d.*", "c._before", "c._whole")
+    j = j.withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order, key)))
+    return (j.withColumn(size, F.col("_whole")) if size else j).drop("_b", "_before", "_whole")

@@ -311,7 +311,7 @@ def q23_map5095(spark: SparkSession, d: str) -> DataFrame:
 def q24_prf_agnostic(spark: SparkSession, d: str) -> DataFrame:
     one = F.lit(0)
     p, t = _boxes(spark, d).withColumn("cls", one), _truth(spark, d).withColumn("cls", one)
-    m = detection.matched(p, t, 0.5).agg(F.count("*").alias("n_pred"), F.count("gseq").alias("tp")).crossJoin(t.agg(F.count("*").alias("n_gt")))  # single rows
+    m = detection.matched(p, t, [0.5]).agg(F.count("*").alias("n_pred"), F.count("gseq").alias("tp")).crossJoin(t.agg(F.count("*").alias("n_gt")))  # single rows
     return m.withColumn("precision", F.round(F.try_divide("tp", "n_pred"), 6)).withColumn("recall", F.round(F.try_divide("tp", "n_gt"), 6))
 
 
@@ -484,17 +484,17 @@ def q42_strat_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q43_neardup_hamming(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation and training lines whose 64-bit sketches (one bit of each of 64 minimum hashes of their words) are within 4 bits."""
+    """Evaluation and training lines whose 64-bit sketches (four bits of each of 16 minimum hashes of their words) are within 4 bits."""
     x = once(spark, d, "index_test", "row_id", "split", "text").withColumn("w", text.words(F.col("text"))).filter("size(w) > 0")
-    bit = "shiftleft(shiftrightunsigned(array_min(transform(w, v -> xxhash64(i, v))), 17) & 1L, cast(i as int))"
-    sketch = F.expr(f"aggregate(sequence(0, 63), 0L, (a, i) -> a | {bit})")
+    part = "shiftleft(shiftrightunsigned(array_min(transform(w, v -> xxhash64(i, v))), 17) & 15L, cast(4 * i as int))"
+    sketch = F.expr(f"aggregate(sequence(0, 15), 0L, (a, i) -> a | {part})")
     x = x.select(F.col("row_id").alias("id"), "split", sketch.alias("hash"))
     return curate.near_hashes(x.filter("split <> 'train'"), x.filter("split = 'train'"))
 
 
 @query(f"""SELECT region_key, least(page_index - p, n - page_index) AS nearest FROM (SELECT region_key, page_index, max(CASE WHEN type = 'table' THEN page_index END) OVER (PARTITION BY doc_id ORDER BY page_index, region_key ROWS UNBOUNDED PRECEDING) AS p, min(CASE WHEN type = 'table' THEN page_index END) OVER (PARTITION BY doc_id ORDER BY page_index, region_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM {_REGIONS})""")
 def q44_nearest_neighbour(spark: SparkSession, d: str) -> DataFrame:
-    return curate.nearest(_regions(spark, d), ["doc_id"], "page_index", F.col("type") == "table", "region_key").select("region_key", "nearest")
+    return curate.nearest(_regions(spark, d), ["doc_id"], "page_index", F.col("type") == "table").select("region_key", "nearest")
 
 
 _MEASURE = "(SELECT DISTINCT measure_id, source, original_width AS v FROM measure_row WHERE original_width IS NOT NULL)"
