@@ -89,7 +89,8 @@ def archive_members(spark: SparkSession, path: str, wanted: DataFrame | None = N
                 else:
                     with tarfile.open(fileobj=io.BytesIO(c)) as t:
                         rows = [(p, m.name, t.extractfile(m).read()) for m in t if m.isfile()]
-                yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["archive", "member", "content"])
 
     d = f.mapInPandas(run, "archive string, member string, content binary")
     if wanted is None:
