@@ -375,6 +375,7 @@ def segments(rows: DataFrame, model: Model) -> DataFrame:
         words = Words(sent.value)
         for b in batches:
             out = [(n, i, k, *s) for n, i, t, w in zip(b.table_name, b.rec_id, b.text, b.wrapped) for k, s in enumerate(spans(t, words, bool(w)))]
-            yield pd.DataFrame(out, columns=["table_name", "rec_id", "segment", "from_char", "to_char", "language", "confidence"])
+            if out:
+                yield pd.DataFrame(out, columns=["table_name", "rec_id", "segment", "from_char", "to_char", "language", "confidence"])
 
     return rows.select("table_name", "rec_id", "text", "wrapped").mapInPandas(run, "table_name string, rec_id long, segment int, from_char int, to_char int, language string, confidence double")

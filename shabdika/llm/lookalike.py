@@ -25,6 +25,10 @@ SIGNS = {"‐": "-", "‑": "-", "|": "।"}
 UNSEEN = "͏ᅟᅠ឴឵᠋᠌᠍︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
 
 
+#: Known without being counted: both spellings of letters with an accent (a corpus may have only the parts), full-width forms, ligatures, and what is blank or unseen.
+COMMON = {chr(c) for c in [*range(0xC0, 0x180), *range(0x900, 0x980), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]} | {c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Cf", "Zs", "Zl", "Zp")}
+
+
 class Classes:
     """Union-find over strings."""
 
@@ -74,16 +78,18 @@ def classes(counts: dict[str, int]) -> dict[str, str]:
     """Member -> representative, for all classes over the code points of a corpus.
 
     `counts` says how often the corpus has a code point (or a linked string). The empty string and the
-    blank stand for their own classes whatever their counts; ties go to the shorter, then smaller string.
+    blank stand for their own classes whatever their counts; ties go to the plain (NFKC) form, then the
+    shorter, then the smaller string.
     """
     uf = Classes()
-    # both spellings of every letter with an accent that the corpus can hold, also where it has only the parts
-    known = {c for c in counts if len(c) == 1} | {chr(c) for c in [*range(0xC0, 0x180), *range(0x900, 0x980), *range(0xFF01, 0xFF5F)]}
+    known = {c for c in counts if len(c) == 1} | COMMON
     for a, b in links(sorted(known)):
         uf.link(a, b)
+    # a string of several characters that wasn't counted stands at most as often as its rarest one
+    often = lambda x: counts.get(x, 0) if len(x) == 1 or x in counts else min(counts.get(c, 0) for c in x)
     out = {}
     for g in uf.groups():
-        best = "" if "" in g else " " if " " in g else min(g, key=lambda x: (-counts.get(x, 0), len(x), x))
+        best = "" if "" in g else " " if " " in g else min(g, key=lambda x: (-often(x), x != unicodedata.normalize("NFKC", x), len(x), x))
         out |= {x: best for x in g if x != best}
     return out
 
@@ -140,7 +146,8 @@ def character_counts(dfs: list[DataFrame], text: str = "text") -> dict[str, int]
             for p in pairs:
                 c[p] += whole.count(p)
         c.pop("\0", None)
-        yield pd.DataFrame({"s": list(c), "n": list(c.values())})
+        if c:
+            yield pd.DataFrame({"s": list(c), "n": list(c.values())})
 
     one = dfs[0].select(text)
     for d in dfs[1:]:

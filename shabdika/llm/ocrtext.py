@@ -145,7 +145,7 @@ def heads(d: DataFrame, numbers: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             p = model(features(b)) if len(b) else np.zeros(0)
-            ok = (p >= 0.5) | (b.back.to_numpy() >= 2) & (p >= 0.2)
+            ok = (p > 0.5) | (b.back.to_numpy() >= 2) & (p >= 0.2)
             yield b[ok][["textline_id"]]
 
     return c.mapInPandas(run, "textline_id long")
@@ -210,7 +210,8 @@ def candidates(counts: DataFrame, lines: int) -> DataFrame:
                         seen[x] = int(df[bucket(x)])
                 g.sort(key=lambda x: (seen[x], x))
                 out += [(w, n, x) for x in g[: 2 * allowed(len(w)) + 1] if seen[x]]
-            yield pd.DataFrame(out, columns=["w", "n", "g"])
+            if out:
+                yield pd.DataFrame(out, columns=["w", "n", "g"])
 
     rare = counts.filter(F.length("w") >= 3).mapInPandas(probe, "w string, n long, g string")
     pairs = rare.join(index, "g").filter(f"nv >= n * {RATIO} and w <> v and abs(length(w) - length(v)) <= 2").select("w", "n", "v", "nv").distinct()
@@ -269,7 +270,7 @@ def misread(words: DataFrame, counts: DataFrame, lines: int) -> DataFrame:
         for b in batches:
             yield b[["w", "v"]].assign(p=model(pair_features(b)) if len(b) else np.zeros(0))
 
-    return pairs.mapInPandas(run, "w string, v string, p double").filter("p >= 0.5").groupBy("w").agg(F.max_by("v", F.struct("p", "v")).alias("v"))
+    return pairs.mapInPandas(run, "w string, v string, p double").filter("p > 0.5").groupBy("w").agg(F.max_by("v", F.struct("p", "v")).alias("v"))
 
 
 def analysed(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -93,13 +93,13 @@ def cores(weight: np.ndarray, n: int, k: int, q: int = Q) -> list[int]:
 def _forms(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rows with their comparable form; rows that have none are dropped."""
 
-    @F.pandas_udf("form string, nums string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = lookalike.Rewriter(mapping)
-        for s in parts:
-            yield pd.DataFrame([comparable(t, r) for t in s], columns=["form", "nums"])
+        for b in batches:
+            x = [comparable(t, r) for t in b.text]
+            yield pd.DataFrame({"row_id": b.row_id, "split": b.split, "form": [f for f, _ in x], "nums": [n for _, n in x]})
 
-    d = df.withColumn("_x", run(F.col("text"))).select("row_id", "split", F.col("_x.form").alias("form"), F.col("_x.nums").alias("nums"))
+    d = df.select("row_id", "split", "text").mapInPandas(run, "row_id long, split string, form string, nums string")
     return d.filter("form <> ''").withColumn("fid", F.xxhash64("form", "nums"))
 
 
@@ -137,7 +137,8 @@ def near_forms(ev: DataFrame, tr: DataFrame) -> DataFrame:
                 h = grams(t, Q)
                 at = cores(w[(h >> _U(64 - COUNT_BITS)).astype(np.int64)].astype(np.float64), len(t), k)
                 out.append((fid, len(t), keys(h[at], nums).tolist(), at, *signature(t)))
-            yield pd.DataFrame(out, columns=["fid", "n", "g", "p", *(f"s{i}" for i in range(WORDS))])
+            if out:
+                yield pd.DataFrame(out, columns=["fid", "n", "g", "p", *(f"s{i}" for i in range(WORDS))])
 
     shape = f"fid long, n int, g array<long>, p array<int>, {words}"
     probes = _kept(ev.mapInPandas(cut, shape))
@@ -160,7 +161,8 @@ def near_forms(ev: DataFrame, tr: DataFrame) -> DataFrame:
                 at = np.flatnonzero((m[top >> 5] >> (top & 31).astype(np.uint32)) & np.uint32(1))
                 if len(at):
                     out.append((fid, len(t), g[at].tolist(), at.tolist(), *signature(t)))
-            yield pd.DataFrame(out, columns=["fid", "n", "g", "p", *(f"s{i}" for i in range(WORDS))])
+            if out:
+                yield pd.DataFrame(out, columns=["fid", "n", "g", "p", *(f"s{i}" for i in range(WORDS))])
 
     def flat(d: DataFrame, tag: str) -> DataFrame:
         x = d.withColumn("z", F.explode(F.arrays_zip("g", "p")))

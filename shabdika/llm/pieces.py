@@ -111,6 +111,7 @@ def pieces(rows: DataFrame, limit: int, overlap: int) -> DataFrame:
             for i, w, h, g, t, w32 in zip(b.measure_id, b.original_width, b.original_height, b.gap_x, b.text, b.w32):
                 kind, spans = cut_row(int(w32), num(w), num(h), None if g is None else list(g), t, limit, overlap)
                 out += [(i, kind, k, *s) for k, s in enumerate(spans)]
-            yield pd.DataFrame(out, columns=["measure_id", "cut_kind", "piece", "x_from", "x_to", "ends_at"])
+            if out:
+                yield pd.DataFrame(out, columns=["measure_id", "cut_kind", "piece", "x_from", "x_to", "ends_at"])
 
     return wide.mapInPandas(run, "measure_id long, cut_kind string, piece int, x_from double, x_to double, ends_at string")

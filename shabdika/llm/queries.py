@@ -251,3 +251,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Continuous text of every region: no furniture, no broken words, misread words replaced."""
     return ocrtext.paragraphs(table(spark, d, "textline"))
+
+
+# --- SQL -------------------------------------------------------------------------------------------------
+
+_NAME = r"'^([a-z]+)[^a-z0-9]+([a-z]+)[^a-z0-9]+0*([0-9]+)[^a-z0-9]'"
+_BASE = r"lower(regexp_replace(image_path, '^.*[/\\]', ''))"
+SQL["p2_found"] = f"SELECT concat_ws('_', regexp_extract(b, {_NAME}, 1), regexp_extract(b, {_NAME}, 2), regexp_extract(b, {_NAME}, 3)) AS doc_key FROM (SELECT {_BASE} AS b, split FROM index_test) WHERE regexp_extract(b, {_NAME}, 1) <> '' GROUP BY doc_key HAVING count(DISTINCT split) > 1"
+_BLANK = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NORM = f"regexp_replace(lower(regexp_replace(regexp_replace(v, '^{_BLANK}+', ''), '{_BLANK}+$', '')), '(?:{_BLANK}|-)+', '_', 'g')"
+SQL["p4_found"] = f"""WITH raw AS (SELECT DISTINCT 'language' AS field_name, line_id, language AS v FROM metadata UNION ALL SELECT DISTINCT 'domain', line_id, domain FROM metadata UNION ALL SELECT DISTINCT 'scan_type', line_id, scan_type FROM metadata),
+    cat AS (SELECT r.field_name, r.line_id, coalesce(a.category, r.n) AS category FROM (SELECT *, {_NORM} AS n FROM raw) r LEFT JOIN category_alias a ON a.field_name = r.field_name AND a.raw_value = r.n),
+    have AS (SELECT field_name, category, count(DISTINCT line_id) AS pages FROM cat GROUP BY ALL),
+    n AS (SELECT (SELECT count(DISTINCT line_id) FROM metadata) * setting_value // 100 AS n FROM run_setting WHERE setting_name = 'sample_pct')
+    SELECT t.field_name, t.category FROM sample_target t CROSS JOIN n LEFT JOIN have h USING (field_name, category) WHERE coalesce(h.pages, 0) < greatest(ceil(t.share_pct * n.n / 100.0), t.min_pages)"""
+SQL["p6_found"] = """WITH lim AS (SELECT setting_value AS m FROM run_setting WHERE setting_name = 'piece_limit_px'),
+    rows AS (SELECT DISTINCT measure_id, original_width AS w, original_height AS h, height32_width_before_cap AS b, gap_x, text FROM measure_row WHERE measure_id IS NOT NULL),
+    wide AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN greatest(8, round_even(w * 32.0 / h, 0)) WHEN b > 0 THEN b END AS w32 FROM rows),
+    k AS (SELECT wide.*, m, rtrim(coalesce(text, '')) AS said, CASE WHEN h > 0 THEN 32.0::DOUBLE / h WHEN w > 0 THEN w32::DOUBLE / w END AS k1 FROM wide, lim WHERE w32 > m),
+    s AS (SELECT *, coalesce(k1, CASE WHEN len(gap_x) > 0 AND contains(said, ' ') THEN w32 / greatest(list_max(gap_x) * length(said) / (length(said) - length(regexp_extract(said, '[^ ]*$')) - 1 + 0.5), list_max(gap_x) + 1) ELSE 1.0 END) AS k FROM k),
+    e AS (SELECT measure_id, m, unnest(list_sort(list_concat([0.0::DOUBLE, CASE WHEN w > 0 THEN w * k ELSE w32 END], list_filter(list_transform(coalesce(gap_x, []), lambda g: g * k), lambda g: g > 0 AND g < CASE WHEN w > 0 THEN w * k ELSE w32 END)))) AS x FROM s)
+    SELECT measure_id, CASE WHEN max(d) > any_value(m) + 1e-9 THEN 'hard' ELSE 'gap' END AS cut_kind FROM (SELECT measure_id, m, x - lag(x) OVER (PARTITION BY measure_id ORDER BY x) AS d FROM e) GROUP BY measure_id"""
