@@ -30,6 +30,8 @@ SAMPLE = 1000
 SENTENCE, MARGIN = 6, 3.0
 #: Nats by which both sides of a change of language inside a segment must lean; a few invented names lean less.
 CHANGE = 30.0
+#: Characters judged at once.
+AT_ONCE = 1_000_000
 #: Cross-entropy per character above which a segment is in none of the languages.
 REJECT = 5.0
 
@@ -357,9 +359,11 @@ def identified(rows: DataFrame, model: Model) -> DataFrame:
             conf = np.zeros((len(b), len(LANGUAGES)))
             for flag in (False, True):
                 at = np.flatnonzero(b.wrapped.to_numpy(dtype=bool) == flag)
-                if len(at):
-                    prior = [LANGUAGES.index(p) if p in LANGUAGES else -1 for p in b.prior.iloc[at]]
-                    has[at], conf[at] = judge([texts[i] for i in at], words, prior, flag)
+                # so many characters at once, a longer text alone and whole: tokens take far more room than text
+                ends = np.cumsum([len(texts[i]) for i in at]) // AT_ONCE
+                for part in np.split(at, np.flatnonzero(np.diff(ends)) + 1) if len(at) else []:
+                    prior = [LANGUAGES.index(p) if p in LANGUAGES else -1 for p in b.prior.iloc[part]]
+                    has[part], conf[part] = judge([texts[i] for i in part], words, prior, flag)
             langs = [[LANGUAGES[k] for k in np.flatnonzero(h)] for h in has]
             case = [len(x) > 1 or len(x) == 1 and x[0] not in fits.get(lab or "", ()) for x, lab in zip(langs, b.label)]
             yield pd.DataFrame({"table_name": b.table_name, "rec_id": b.rec_id, "languages": langs, "confidence": [[float(v) for v in c[h]] for c, h in zip(conf, has)], "case": case})
