@@ -24,7 +24,7 @@ from . import lookalike
 from .boost import Boost
 
 #: Lines, and candidate lines, that the two models are fitted on. All else covers every row.
-SAMPLE = 30_000
+SAMPLE = 15_000
 #: Lines from the top or the bottom of a page where furniture stands.
 EDGE = 3
 #: A word is ordinary from this count on, or this share of all lines, whichever is more.
@@ -64,6 +64,14 @@ def page_number(text: str) -> int | None:
     return int(nums[0].translate(_DIGITS))
 
 
+def sampled(df: DataFrame, *cols: str) -> pd.DataFrame:
+    """At most SAMPLE rows in the order of a hash of their id, by a threshold on it: no task sends more than its share."""
+    n = df.count()
+    at = F.pmod(F.xxhash64("textline_id"), F.lit(1 << 40))
+    few = df.select(at.alias("at"), *cols).filter(F.col("at") < int((1 << 40) * min(1.0, 1.1 * SAMPLE / max(1, n))))
+    return few.toPandas().sort_values("at", kind="stable").head(SAMPLE)
+
+
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
@@ -137,7 +145,7 @@ def heads(d: DataFrame, numbers: DataFrame) -> DataFrame:
             out[i] = (v.mean(), v.max(), v.min(), len(w), min(t, 9), min(u, 9))
         return out
 
-    s = c.withColumn("h", F.xxhash64("textline_id")).orderBy("h").limit(SAMPLE).toPandas()
+    s = sampled(c, "words", "top", "bottom", "back", "pages")
     yes, no = (s.back >= 3) | (s.back == 2) & (s.pages <= 4), (s.back == 1) & (s.pages >= 3)
     pick = (yes | no).to_numpy()
     model = Boost().fit(features(s[pick]), yes.to_numpy()[pick])
@@ -248,7 +256,7 @@ def misread(words: DataFrame, counts: DataFrame, lines: int) -> DataFrame:
     kinds = pairs.select("v", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count_distinct("v").alias("spread"))
     spread = pairs.select("w", "v", F.explode("kinds").alias("kind")).join(kinds, "kind").groupBy("w", "v").agg(F.min("spread").alias("spread"))
     pairs = cut(pairs.join(spread, ["w", "v"]))
-    sample = words.withColumn("h", F.xxhash64("textline_id")).orderBy("h").limit(SAMPLE).select("words").toPandas().words
+    sample = sampled(words, "words").words
     after: Counter = Counter()
     one: Counter = Counter()
     where: dict[str, list] = defaultdict(list)
