@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 
 #: Where the vocabulary lies on every executor; a parameter of all that counts tokens.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Characters encoded at once: token lists are large, and only their lengths are kept.
+AT_ONCE = 400_000
+
+
+def lengths(sp, texts: list[str]) -> list[int]:  # noqa: ANN001
+    """Tokens of each text; texts are encoded a few at a time, a long one alone and whole."""
+    out: list[int] = []
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= AT_ONCE:
+            out += [len(x) for x in sp.encode(part, num_threads=1)]
+            part, size = [], 0
+    return out + ([len(x) for x in sp.encode(part, num_threads=1)] if part else [])
 
 
 def counted(df: DataFrame, text: str = "text", out: str = "tokens", head: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -25,10 +41,10 @@ def counted(df: DataFrame, text: str = "text", out: str = "tokens", head: str |
         sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
         for s in parts:
             texts = [t or "" for t in s]
-            n = [len(x) for x in sp.encode(texts, num_threads=1)]
+            n = lengths(sp, texts)
             h = [0] * len(n)
             if head:
-                h = [min(len(x), k) for x, k in zip(sp.encode([t.partition("\n")[0] if "\n" in t else "" for t in texts], num_threads=1), n)]
+                h = [min(x, k) for x, k in zip(lengths(sp, [t.partition("\n")[0] if "\n" in t else "" for t in texts]), n)]
             yield pd.DataFrame({"n": n, "h": h})
 
     d = df.withColumn("_c", count(F.col(text))).drop(text).withColumn(out, F.col("_c.n"))
