@@ -1,15 +1,17 @@
 """A sample that matches target category shares (problem 4).
 
-Min-cost flow on the counts of cross-classified cells. Arcs carry the margins, the floors and what is
-available; slack arcs take what can't be met and so expose the shortfalls. Integer cell quotas come out
-of a flow with random arc costs, and pages are drawn within cells by a seeded order.
+Min-cost flow on the counts of cross-classified cells. Floors are kept first; arcs carry the margins and
+what is available, dear arcs what goes beyond a margin, so that no page is dropped. Integer cell quotas
+come out of a flow with random arc costs, and pages are drawn within cells by a seeded order.
 """
 
 from __future__ import annotations
 
 import heapq
 import random
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql.window import Window
 
 #: Cost of a unit that passes a slack arc; far above any other cost.
 SLACK = 10**6
+#: Cost of a unit beyond a margin; far above the costs of a way through the cells.
+OVER = 10**6
 
 
 @dataclass
@@ -106,57 +110,145 @@ def shortfalls(have: dict[tuple, int], want: dict[tuple[str, str], int], fields:
     return out
 
 
-def margins(targets: list[tuple], n: int, field_name: str) -> dict[str, int]:
-    """The field's n pages by share, largest remainders first, then floors taken from the largest category."""
-    own = [(c, float(s or 0), int(m or 0)) for f, c, s, m in targets if f == field_name]
-    whole = sum(s for _, s, _ in own) or 1.0
-    exact = {c: n * s / whole for c, s, _ in own}
-    got = {c: int(x) for c, x in exact.items()}
-    for c in sorted(exact, key=lambda c: (got[c] - exact[c], c))[: max(0, n - sum(got.values()))]:
-        got[c] += 1
-    for c, _, m in own:
-        while got[c] < m and (big := max(got, key=lambda x: (got[x], x))) != c and got[big] > got[c] + 1:
-            got[c], got[big] = got[c] + 1, got[big] - 1
+def margins(targets: list[tuple], n: int, field_name: str, room: dict[str, int]) -> dict[str, int]:
+    """The field's n pages by share, none above its room: what a short category can't take goes to the others by their shares.
+
+    Largest remainders first, then floors taken from the category furthest above its own.
+    """
+    own = {c: (float(s or 0), min(int(m or 0), room.get(c, 0))) for f, c, s, m in targets if f == field_name}
+    got, left = dict.fromkeys(own, 0), n
+    free = {c for c, (s, _) in own.items() if s > 0}
+    while free:
+        whole = sum(own[c][0] for c in free)
+        exact = {c: left * own[c][0] / whole for c in free}
+        full = {c for c in free if exact[c] >= room.get(c, 0)}
+        if not full:
+            got |= {c: int(x) for c, x in exact.items()}
+            for c in sorted(exact, key=lambda c: (got[c] - exact[c], c))[: max(0, left - sum(got[c] for c in free))]:
+                got[c] += 1
+            break
+        got |= {c: room.get(c, 0) for c in full}
+        left, free = left - sum(got[c] for c in full), free - full
+    for c, (_, m) in own.items():
+        while got[c] < m:
+            if sum(got.values()) >= n:
+                big = max(got, key=lambda x: (got[x] - own[x][1], x))
+                if got[big] <= own[big][1]:
+                    break
+                got[big] -= 1
+            got[c] += 1
     return got
 
 
+def floored(have: dict[tuple, int], floor: list[dict[str, int]], want: list[dict[str, int]], n: int) -> dict[tuple, int]:
+    """Pages that keep the floors, at most n: always from the cell that serves most open floors, then the one that passes fewest margins.
+
+    A floor is only left open if n pages don't reach for it, as long as no floor is above what its category has.
+    """
+    open_, got = [dict(f) for f in floor], [Counter() for _ in floor]
+    out: Counter = Counter()
+    while n > 0:
+        best = max((x for x, m in have.items() if out[x] < m), default=None, key=lambda x: (sum(o.get(c, 0) > 0 for o, c in zip(open_, x)), -sum(g[c] >= w.get(c, 0) for g, w, c in zip(got, want, x)), have[x] - out[x], str(x)))
+        if best is None or not any(o.get(c, 0) > 0 for o, c in zip(open_, best)):
+            break
+        out[best], n = out[best] + 1, n - 1
+        for o, g, c in zip(open_, got, best):
+            o[c], g[c] = o.get(c, 0) - 1, g[c] + 1
+    return dict(out)
+
+
+def exchanged(quota: dict[tuple, int], have: dict[tuple, int], floor: list[dict[str, int]], want: list[dict[str, int]], n: int) -> dict[tuple, int]:
+    """`quota` filled up to n pages and moved between cells while that brings the margins nearer; no floor is given up."""
+    q = Counter(quota)
+    got = [Counter() for _ in want]
+    for x, m in q.items():
+        for g, c in zip(got, x):
+            g[c] += m
+    over = lambda i, c: got[i][c] - want[i].get(c, 0)
+
+    def move(x: tuple, m: int) -> None:
+        q[x] += m
+        for g, c in zip(got, x):
+            g[c] += m
+
+    while (lack := n - sum(q.values())) > 0:
+        x = max((x for x, m in have.items() if q[x] < m), default=None, key=lambda x: (sum(over(i, c) < 0 for i, c in enumerate(x)), sum(c in w for w, c in zip(want, x)), str(x)))
+        if x is None:
+            break
+        under = [-over(i, c) for i, c in enumerate(x) if over(i, c) < 0]
+        move(x, min([lack, have[x] - q[x], *under]))
+    while True:
+        best = (0, 0, None, None)
+        give = [x for x in q if q[x] > 0 and any(over(i, c) > 0 for i, c in enumerate(x))]
+        take = [x for x in have if q[x] < have[x] and any(over(i, c) < 0 for i, c in enumerate(x))]
+        for a in give:
+            for b in take:
+                gain, most = 0, min(q[a], have[b] - q[b])
+                for i, (c, e) in enumerate(zip(a, b)):
+                    if c != e:
+                        up, down = over(i, c), -over(i, e)
+                        gain += (1 if up > 0 else -1) + (1 if down > 0 else -1)
+                        most = min([most, got[i][c] - floor[i].get(c, 0), *(v for v in (up, down) if v > 0)])
+                if most > 0 and gain > best[0]:
+                    best = (gain, most, a, b)
+        if not best[0]:
+            return {x: m for x, m in q.items() if m}
+        move(best[2], -best[1])
+        move(best[3], best[1])
+
+
 def quotas(have: dict[tuple, int], targets: list[tuple], n: int, fields: list[str], seed: int = 17) -> dict[tuple, int]:
-    """Integer quotas of the cells, in two flows: first field against second, then those cells against the third.
+    """Integer quotas of the cells, n in all as far as there are pages: floors first, then two flows over the rest, then exchanges.
 
-    Each cell's arc has a cheap part, its proportional share rounded randomly, and a dearer rest.
-    A flow takes two margins at once; the third is met from what the first two leave, its slack showing what isn't.
+    The first field flows against the second, those cells then against the third. Each cell's arc has a
+    cheap part, its proportional share rounded randomly, and a dearer rest; arcs beyond a margin carry at
+    OVER what the cells can't bring elsewhere, so no page is dropped. Values without a target have a margin
+    of 0 and come a little cheaper than an overfull category, so that a rare category's pages are taken.
     """
     rng = random.Random(seed)
-    want = {f: margins(targets, n, f) for f in fields}
-    state: dict[tuple, int] = {(c,): w for c, w in want[fields[0]].items()}
+    n = min(n, sum(have.values()))
+    room = [Counter() for _ in fields]
+    for cell, m in have.items():
+        for r, c in zip(room, cell):
+            r[c] += m
+    want = [margins(targets, n, f, r) for f, r in zip(fields, room)]
+    floor = [{c: min(int(m or 0), r[c]) for f, c, _, m in targets if f == name} for name, r in zip(fields, room)]
+    base = floored(have, floor, want, n)
+    rest = {cell: m - base.get(cell, 0) for cell, m in have.items()}
+    goal = [{c: max(0, w.get(c, 0) - sum(b for cell, b in base.items() if cell[i] == c)) for c in room[i]} for i, w in enumerate(want)]
+    beyond = [{c: OVER if c in w else OVER - OVER // 10 for c in r} for w, r in zip(want, room)]
+    left_over = n - sum(base.values())
+    state: dict[tuple, int] = {(c,): w for c, w in goal[0].items()}
     for k in range(1, len(fields)):
         avail: dict[tuple, dict[str, int]] = {}
-        for cell, m in have.items():
-            if all(cell[i] in want[fields[i]] for i in range(k + 1)):
-                avail.setdefault(cell[:k], {})
-                avail[cell[:k]][cell[k]] = avail[cell[:k]].get(cell[k], 0) + m
+        for cell, m in rest.items():
+            avail.setdefault(cell[:k], Counter())[cell[k]] += m
         g, arcs = Flow(), {}
-        whole = sum(want[fields[k]].values()) or 1
+        whole = sum(goal[k].values()) or 1
+        g.arc("s", "n", left_over)
         for left, m in state.items():
-            g.arc("s", ("l", left), m)
-            g.arc(("l", left), "t", m, SLACK)
-            for c, a in sorted(avail.get(left, {}).items()):
-                fair = min(a, int(m * want[fields[k]][c] / whole + rng.random()))
+            g.arc("n", ("l", left), m)
+            if k == 1:
+                g.arc("n", ("l", left), left_over, beyond[0][left[0]])
+            for c, a in sorted(avail.get(left, {}).items(), key=str):
+                fair = min(a, int(m * goal[k][c] / whole + rng.random()))
                 arcs[(*left, c)] = [g.arc(("l", left), ("r", c), fair, rng.randrange(1, 50)), g.arc(("l", left), ("r", c), a - fair, rng.randrange(200, 400))]
-        for c, w in want[fields[k]].items():
+        for c, w in goal[k].items():
             g.arc(("r", c), "t", w)
+            g.arc(("r", c), "t", left_over, beyond[k][c])
         g.run("s", "t")
         state = {cell: sum(map(g.used, two)) for cell, two in arcs.items()}
-    return {c: m for c, m in state.items() if m}
+    return exchanged(Counter(base) + Counter(state), have, floor, want, n)
 
 
 def draw(pages: DataFrame, key: str, fields: list[str], quota: dict[tuple, int], seed: int = 17, buckets: int = 512) -> DataFrame:
     """The pages drawn: in each cell the first `quota` in seeded order, found by buckets of that order so that a large cell is never ranked in one task."""
     spark = pages.sparkSession
-    q = spark.createDataFrame([(*c, int(m)) for c, m in quota.items()], ", ".join(f"{f} string" for f in fields) + ", _q long")
-    p = pages.join(q, fields).withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_b", F.floor(F.pmod("_h", F.lit(1 << 40)) * buckets / (1 << 40)))
-    by = p.groupBy(*fields, "_b").agg(F.count("*").alias("_n"))
-    before = by.withColumn("_before", F.sum("_n").over(Window.partitionBy(*fields).orderBy("_b")) - F.col("_n")).drop("_n")
-    p = p.join(before, [*fields, "_b"]).filter("_before < _q")
-    rank = F.row_number().over(Window.partitionBy(*fields, "_b").orderBy("_h", key))
-    return p.withColumn("_r", rank).filter("_before + _r <= _q").drop("_h", "_b", "_q", "_r", "_before")
+    q = spark.createDataFrame([(i, *c, int(m)) for i, (c, m) in enumerate(quota.items())], "_c int, " + ", ".join(f"_{f} string" for f in fields) + ", _q long")
+    same = reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"_{f}")) for f in fields])  # null is a category too
+    p = pages.join(F.broadcast(q), same).drop(*[f"_{f}" for f in fields]).withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_b", F.floor(F.pmod("_h", F.lit(1 << 40)) * buckets / (1 << 40)))
+    by = p.groupBy("_c", "_b").agg(F.count("*").alias("_n"))
+    before = by.withColumn("_before", F.sum("_n").over(Window.partitionBy("_c").orderBy("_b")) - F.col("_n")).drop("_n")
+    p = p.join(before, ["_c", "_b"]).filter("_before < _q")
+    rank = F.row_number().over(Window.partitionBy("_c", "_b").orderBy("_h", key))
+    return p.withColumn("_r", rank).filter("_before + _r <= _q").drop("_c", "_h", "_b", "_q", "_r", "_before")

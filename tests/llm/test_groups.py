@@ -91,6 +91,37 @@ def test_sample_keeps_margins(spark):
     assert Counter(x.l for x in got) == {"mr": 100, "hi": 100} and Counter(x.d for x in got) == {"a": 140, "b": 60} and Counter(x.k for x in got) == {"s": 80, "t": 120}
 
 
+SHORT = {("mr", "a", "s"): 400, ("mr", "b", "t"): 30, ("hi", "a", "t"): 300, ("kok", "b", "t"): 4, ("hi", "c", "s"): 3, ("mr", None, "s"): 5, ("hi", "?", "t"): 5}
+SHORT_TARGETS = [("l", "mr", 50, 1), ("l", "hi", 40, 1), ("l", "kok", 10, 3), ("d", "a", 60, 1), ("d", "b", 20, 1), ("d", "c", 10, 3), ("d", "none", 10, 2), ("k", "s", 50, 1), ("k", "t", 50, 1)]
+
+
+def test_sample_is_whole_where_categories_are_short(spark):
+    f = ["l", "d", "k"]
+    for n in (40, 200, 740, 747, 900):
+        q = quota.quotas(SHORT, SHORT_TARGETS, n, f)
+        assert sum(q.values()) == min(n, 747) and all(m <= SHORT[c] for c, m in q.items())
+        assert sum(m for c, m in q.items() if c[0] == "kok") >= 3 and sum(m for c, m in q.items() if c[1] == "c") == 3
+    rows = [(f"{c}{i}", *c) for c, m in SHORT.items() for i in range(m)]
+    d = spark.createDataFrame(rows, "line_id string, l string, d string, k string")
+    for n in (200, 745):
+        got = quota.draw(d, "line_id", f, quota.quotas(SHORT, SHORT_TARGETS, n, f)).collect()
+        assert len(got) == len({x.line_id for x in got}) == n
+        assert n < 745 or any(x.d is None for x in got)
+
+
+def test_sample_keeps_floors_of_the_last_field():
+    # the only pages of t lie in a cell that the margins of the first two fields don't ask for
+    have = {("x", "p", "s"): 500, ("y", "q", "s"): 500, ("x", "q", "t"): 5}
+    targets = [("l", "x", 50, 0), ("l", "y", 50, 0), ("d", "p", 50, 0), ("d", "q", 50, 0), ("k", "s", 100, 0), ("k", "t", 0, 4)]
+    q = quota.quotas(have, targets, 20, ["l", "d", "k"])
+    assert sum(q.values()) == 20 and q["x", "q", "t"] == 4
+
+
+def test_margins_hand_on_what_a_short_category_lacks():
+    assert quota.margins([("f", "a", 50, 0), ("f", "b", 25, 0), ("f", "c", 25, 0), ("g", "z", 100, 0)], 100, "f", {"a": 90, "b": 70, "c": 1}) == {"a": 66, "b": 33, "c": 1}
+    assert quota.margins([("f", "a", 90, 0), ("f", "b", 10, 15), ("f", "c", 0, 2)], 100, "f", {"a": 90, "b": 70, "c": 1}) == {"a": 84, "b": 15, "c": 1}
+
+
 def test_pieces():
     kind, p = pieces.cut_row(1000, 1000, 32, [100, 400, 480, 700, 900], "a b c d e f", 512, 32)
     assert kind == "gap" and all(b - a <= 512 for a, b, _ in p) and p[0][0] == 0 and p[-1][1] == 1000
