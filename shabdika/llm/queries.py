@@ -131,12 +131,13 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """For each category of sample_target: pages wanted, available, planned and missing."""
+    """For each category of sample_target: pages wanted, available, planned, short by what its own field allows, and missed: those the quotas drawn leave out, for whatever reason."""
     _, targets, have, n = _sampling(spark, d)
     want, plan = quota.needs(targets, n), quota.quotas(have, targets, n, _FIELDS)
     short = quota.shortfalls(have, want, _FIELDS)
-    rows = [(f, c, want[f, c], sum(v for k, v in have.items() if k[i] == c), sum(v for k, v in plan.items() if k[i] == c), short[f, c]) for i, f in enumerate(_FIELDS) for ff, c, *_ in targets if ff == f]
-    return spark.createDataFrame(rows, "field_name string, category string, wanted long, available long, planned long, short long")
+    got = {(f, c): sum(v for k, v in plan.items() if k[i] == c) for i, f in enumerate(_FIELDS) for ff, c, *_ in targets if ff == f}
+    rows = [(f, c, want[f, c], sum(v for k, v in have.items() if k[i] == c), got[f, c], short[f, c], max(0, want[f, c] - got[f, c])) for i, f in enumerate(_FIELDS) for ff, c, *_ in targets if ff == f]
+    return spark.createDataFrame(rows, "field_name string, category string, wanted long, available long, planned long, short long, missed long")
 
 
 @query
