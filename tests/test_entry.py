@@ -23,3 +23,10 @@ def test_core_does_not_import_training():
     for f in root.rglob("*.py"):
         if "llm" not in f.parts:
             assert ".llm" not in f.read_text() and "shabdika.llm" not in f.read_text(), f
+
+
+def test_bootstrap_query_takes_all_rounds(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(core.edit, "bootstrap", lambda p, *by, rounds=2000, **kw: taken.append(rounds) or p.selectExpr("lang", "0.0D AS low", "0.0D AS high"))
+    core.QUERIES["q54_bootstrap_ci"](spark, DIR)
+    assert taken == [2000]
