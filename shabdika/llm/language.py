@@ -28,7 +28,7 @@ DISCOUNT = 0.75
 SAMPLE = 1000
 #: A language counts if a segment in it has so many words, and beats the others by so many nats.
 SENTENCE, MARGIN = 6, 3.0
-#: Nats by which both sides of a change of language inside a segment must lean; a few invented names lean less.
+#: Nats by which a stretch of each language must lean where the language changes inside a segment; a few invented names lean less.
 CHANGE = 30.0
 #: Characters judged at once.
 AT_ONCE = 1_000_000
@@ -37,6 +37,9 @@ REJECT = 5.0
 
 #: Words of Latin and of Devanagari letters; ends of sentences; the mark between two texts.
 _TOKEN = re.compile("[A-Za-zÀ-ɏ]+|[ऀ-ॣॱ-ॿ]+|[.।?!|/\n\x01]")
+#: Points that end no sentence: between digits, after initials and fixed abbreviations; "no." and the like only before a number, as a word may end a sentence.
+_ABBREVIATIONS = "Dr|Mr|Mrs|Ms|Prof|Smt|Shri|Sr|Jr|Rs|Dept|Govt|Ltd|viz|vs|डॉ|क्र|श्री|सौ|कु|रु|मा|ता|जि|दि|प्रा|प्रो|पं|सं|अॅड"
+_POINT = re.compile(rf"(?<=[0-9०-९])\.(?=[0-9०-९])|(?<![A-Za-zÀ-ɏऀ-ॿ])(?:(?:{_ABBREVIATIONS}|[A-Z]|[अ-हक़-ॡ])\.|(?:[Nn]os?|[Rr]ef|[Ff]ig|[Pp]p?)\.(?=\s*[0-9०-९]))")
 _ODD = re.compile("[^\x00-\x7fऀ-ॿ]")
 
 
@@ -194,6 +197,11 @@ class Words:
         return out
 
 
+def unpointed(text: str) -> str:
+    """The text, as long as before, with a blank for every point that ends no sentence."""
+    return _POINT.sub(lambda m: m[0][:-1] + " ", text)
+
+
 def judge(texts: list[str], words: Words, prior: list[int] | None = None, wrapped: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """For each text, which languages it has (n x 3 booleans) and the confidence in each.
 
@@ -205,8 +213,8 @@ def judge(texts: list[str], words: Words, prior: list[int] | None = None, wrappe
     has, conf = np.zeros((n, k), bool), np.zeros((n, k))
     if not n:
         return has, conf
-    whole = "\x01".join([(tidy(t).replace("\n", " ") if wrapped else tidy(t)).replace("\x01", " ") for t in texts]) + "\x01"
-    # an abbreviation or a number's point ends no sentence
+    plain = [unpointed(tidy(t)) for t in texts]
+    whole = "\x01".join([(t.replace("\n", " ") if wrapped else t).replace("\x01", " ") for t in plain]) + "\x01"
     tokens = _TOKEN.findall(whole)
     r = words.look(tokens)
     kind = r[:, 0]
@@ -238,9 +246,12 @@ def judge(texts: list[str], words: Words, prior: list[int] | None = None, wrappe
     c = np.cumsum(d)
     start = c[first] - d[first]
     part = c - np.repeat(start, size)
-    hi, lo = np.maximum.reduceat(part, first), np.minimum.reduceat(part, first)
-    sum_ = part[np.r_[first[1:] - 1, len(w) - 1]]
-    turn = (hi >= CHANGE) & (sum_ - hi <= -CHANGE) | (lo <= -CHANGE) & (sum_ - lo >= CHANGE)
+    # the largest rise is a Marathi stretch, the largest fall a Hindi one, wherever they lie
+    apart = np.repeat(np.arange(len(first)) * (1.0 + 2 * np.abs(part).max()), size)
+    low = np.minimum(np.minimum.accumulate(part - apart) + apart, 0)
+    high = np.maximum(np.maximum.accumulate(part + apart) - apart, 0)
+    rise, fall = np.maximum.reduceat(part - low, first), np.maximum.reduceat(high - part, first)
+    turn = (rise >= CHANGE) & (fall >= CHANGE)
     two = deva & turn & (size >= 2 * SENTENCE) & fits
     for x in (0, 1):
         has[seg_t[two], x] = True
@@ -278,7 +289,7 @@ def spans(text: str | None, words: Words, wrapped: bool = False) -> list[tuple[i
     out: list[list] = []
     piece = re.compile(r"[^.।?!|/\x01]+[.।?!|/]*" if wrapped else r"[^.।?!|/\n\x01]+[.।?!|/\n]*")
     runs: list[tuple[int, int]] = []
-    for m in piece.finditer(text):
+    for m in piece.finditer(unpointed(text)):
         at, last = m.start(), None
         for x in re.finditer("[A-Za-zÀ-ɏ]+|[ऀ-ॣॱ-ॿ]+", m[0]):
             k = "ऀ" <= x[0][0] <= "ॿ"

@@ -32,6 +32,21 @@ def test_one_and_mixed(model):
     assert judged(model, [MR, HI, EN, MR + ". " + HI, MR + " / " + EN, MR + " " + HI, "", "१२ ३४", MR + " (PDF)"]) == ["m", "h", "e", "mh", "me", "mh", "", "", "m"]
 
 
+def test_change_and_back(model):
+    # leanings of about +, -, + and -, +, -: no part outweighs what stands before it
+    assert judged(model, [f"{MR}, {HI}, {MR}", f"{HI}; {MR}; {HI}", f"{MR}\n{HI}\n{MR}"], wrapped=True) == ["mh"] * 3
+    assert judged(model, [f"{MR}, {MR}, {MR}", f"{HI}, {HI}"]) == ["m", "h"]
+    assert judged(model, [f"{MR}, {HI}, {MR}. {HI}", MR, f"{HI}, {MR}, {HI}"]) == ["mh", "m", "mh"]
+
+
+def test_points_that_end_no_sentence(model):
+    assert L.unpointed("क्र. 12 दि. 1.5.2020 No. 7 says no. F. 3\n2. x 2020. y आहे. A.B.") == "क्र  12 दि  1 5 2020 No  7 says no. F  3\n2. x 2020. y आहे. A B "
+    en = "The proposal has been Dr. approved and residents"  # parts of 4 and 3 words
+    assert judged(model, [f"{MR}. {en}", f"{MR}. The proposal has been no. 12 approved and residents", f"{MR}. The proposal has been. Approved and residents"]) == ["me", "me", "m"]
+    t = f"{MR} क्र. 12 {MR}"
+    assert [x[:3] for x in L.spans(t, L.Words(model))] == [(0, len(t), "mr")]
+
+
 def test_prior_and_fragments(model):
     assert judged(model, ["आहे", "है", "xq"]) == ["m", "h", "e"]
     assert judged(model, ["झटट"], prior=[1]) == ["h"] and judged(model, ["झटट"], prior=[0]) == ["m"]
