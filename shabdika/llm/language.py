@@ -2,16 +2,18 @@
 
 A character model per language: interpolated Kneser-Ney over characters within words, its probabilities
 and back-off weights in sorted key arrays. A segment gets the language of lowest cross-entropy per
-character; segments that fit no model, or two equally well, are rejected. Words are scored once per
+character; segments that fit no model (by a threshold fitted to held-out text), or two equally well, are rejected: they get
+the likeliest language only if nothing else in the text has one, with a low confidence. Words are scored once per
 worker and batch; everything after that is arithmetic on arrays.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -32,8 +34,12 @@ SENTENCE, MARGIN = 6, 3.0
 CHANGE = 30.0
 #: Characters judged at once.
 AT_ONCE = 1_000_000
-#: Cross-entropy per character above which a segment is in none of the languages.
+#: Cross-entropy per character above which a segment is in none of the languages, where there are too few held-out segments to fit it.
 REJECT = 5.0
+#: Every so many-th labelled document is held out to fit the thresholds of rejection; segments that takes, and the share of them to be kept.
+HELD, LEAST, KEEP = 5, 200, 0.999
+#: Share of characters that may be misread in a text that is still in its language; labelled documents are cleaner than recognised lines.
+MISREAD = 0.1
 
 #: Words of Latin and of Devanagari letters; ends of sentences; the mark between two texts.
 _TOKEN = re.compile("[A-Za-zÀ-ɏ]+|[ऀ-ॣॱ-ॿ]+|[.।?!|/\n\x01]")
@@ -52,6 +58,7 @@ class Model:
     logp: list
     ctx: list
     back: list
+    limit: np.ndarray = field(default_factory=lambda: np.full(len(LANGUAGES), REJECT))
 
 
 def fit(words: dict[str, Counter]) -> Model:
@@ -154,6 +161,17 @@ def score(m: Model, words: list[str]) -> np.ndarray:
     return cum[ends] - cum[np.r_[0, ends[:-1]]]
 
 
+def threshold(m: Model, lang: int, said: list[list[str]]) -> float:
+    """Cross-entropy of rejection: what KEEP of the held-out segments stay under with MISREAD of their characters misread."""
+    if len(said) < LEAST:
+        return REJECT
+    rng = random.Random(0)
+    letters = sorted({c for x in said for w in x for c in w})
+    noisy = ["".join(rng.choice(letters) if rng.random() < MISREAD else c for c in w) for x in said for w in x]
+    first = np.cumsum([0, *(len(x) for x in said[:-1])])
+    return float(np.quantile(-np.add.reduceat(score(m, noisy)[:, lang], first) / np.add.reduceat([len(w) + 1 for w in noisy], first), KEEP))
+
+
 _PLAIN: list = []
 
 
@@ -238,7 +256,8 @@ def judge(texts: list[str], words: Words, prior: list[int] | None = None, wrappe
     rest = total.copy()
     rest[np.arange(len(total)), best] = -np.inf
     lead = np.minimum(top - rest.max(axis=1), 1e6)
-    fits = -top / np.maximum(1, chars) <= REJECT
+    limit = words.model.limit[best]
+    fits = -top / np.maximum(1, chars) <= limit
     sentence = (size >= SENTENCE) & (lead >= MARGIN) & fits
     np.logical_or.at(has, (seg_t[sentence], best[sentence]), True)
     # a change between the two languages of one script inside a segment
@@ -252,7 +271,9 @@ def judge(texts: list[str], words: Words, prior: list[int] | None = None, wrappe
     high = np.maximum(np.maximum.accumulate(part + apart) - apart, 0)
     rise, fall = np.maximum.reduceat(part - low, first), np.maximum.reduceat(high - part, first)
     turn = (rise >= CHANGE) & (fall >= CHANGE)
-    two = deva & turn & (size >= 2 * SENTENCE) & fits
+    # neither language's model fits the whole of it: each word is judged by the better one
+    either = -np.add.reduceat(s[:, :2].max(axis=1), first) / np.maximum(1, chars) <= words.model.limit[:2].max()
+    two = deva & turn & (size >= 2 * SENTENCE) & either
     for x in (0, 1):
         has[seg_t[two], x] = True
     # what all segments say together
@@ -275,10 +296,13 @@ def judge(texts: list[str], words: Words, prior: list[int] | None = None, wrappe
     has[none & some & ~latin & (odds >= 0), 0] = True
     has[none & some & ~latin & (odds < 0), 1] = True
     sure = 1 / (1 + np.exp(-np.minimum(30, np.abs(odds) / 2)))
-    conf[:, 0] = conf[:, 1] = sure
-    conf[:, 2] = np.where(some, 0.5 + 0.5 * np.minimum(1.0, sums[:, 2] / 20), 0)
+    # how much likelier each script's text is than at the threshold of rejection: 0.5 there, less beyond
+    over = np.zeros((n, 2))
+    np.add.at(over, (seg_t, np.where(deva, 0, 1)), top + limit * chars)
+    in_any = 1 / (1 + np.exp(-np.clip(over / 2, -30, 30)))
     both = has[:, 0] & has[:, 1]
-    conf[both, :2] = 0.95
+    conf[:, 0] = conf[:, 1] = np.where(both, 0.95, sure) * in_any[:, 0]
+    conf[:, 2] = in_any[:, 1]
     return has, np.round(np.where(has, conf, 0.0), 4)
 
 
@@ -313,7 +337,8 @@ def models(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Models fitted on at most `sample` documents with a clean label per language, chosen by a hash of their id.
 
     Labels are partly wrong: sentences that another language's first model fits better are dropped, and
-    the models fitted again.
+    the models fitted again. The first models leave out every HELD-th document, whose sentences fit the
+    thresholds of rejection.
     """
     clean = docs.filter(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
     size = {r.lang: r.n for r in clean.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -324,22 +349,31 @@ def models(docs: DataFrame, sample: int = SAMPLE) -> Model:
         some = own if some is None else some | own
     rows = clean.filter(some & ~F.col("text").rlike(encoding.SUSPICIOUS)).select("lang", at.alias("at"), "text").collect() if size else []
     texts = {k: [r.text for r in sorted((r for r in rows if r.lang == k), key=lambda r: r.at)[:sample]] for k in LANGUAGES}
-    said = {k: [[w for w in _TOKEN.findall(x) if len(w) > 1 or w.isalpha()] for t in v for x in re.split("[.।?!\n]", t)] for k, v in texts.items()}
-    first = {k: Counter(w for x in v for w in x) for k, v in said.items()}
+    said = {k: [(i, [w for w in _TOKEN.findall(x) if len(w) > 1 or w.isalpha()]) for i, t in enumerate(v) for x in re.split("[.।?!\n]", t)] for k, v in texts.items()}
+    held = {k: HELD if sum(i % HELD == HELD - 1 and len(x) >= SENTENCE for i, x in v) >= LEAST else len(v) + 1 for k, v in said.items()}
+    first = {k: Counter(w for i, x in v if i % held[k] != held[k] - 1 for w in x) for k, v in said.items()}
     words = Words(fit(first))
     kept: dict[str, Counter] = {}
+    limit = np.full(len(LANGUAGES), REJECT)
     for i, k in enumerate(LANGUAGES):
         kept[k] = Counter()
-        flat = [w for x in said[k] for w in x]
+        flat = [w for _, x in said[k] for w in x]
         if not flat:
             continue
-        s = words.look(flat)[:, 2:5]
-        at = 0
-        for x in said[k]:
-            if x and s[at : at + len(x)].sum(axis=0).argmax() == i:
+        r = words.look(flat)
+        s, own = r[:, 2:5], r[:, 0] == (2 if k == "en" else 3)
+        at, apart = 0, []
+        for j, x in said[k]:
+            here = slice(at, at + len(x))
+            if x and s[here].sum(axis=0).argmax() == i:
                 kept[k].update(x)
+                if j % held[k] == held[k] - 1 and own[here].sum() >= SENTENCE:
+                    apart.append([w for w, o in zip(x, own[here]) if o])
             at += len(x)
-    return fit(kept)
+        limit[i] = threshold(words.model, i, apart)
+    model = fit(kept)
+    model.limit = limit
+    return model
 
 
 #: Spellings of the right label, after trimming and lower-casing, cut at "-" or "_".

@@ -65,6 +65,30 @@ def test_words_forget_without_change(model):
         assert (a.look(toks) == b.look(toks)).all()
 
 
+@pytest.fixture(scope="module")
+def fitted(spark):
+    import random
+
+    r = random.Random(5)
+    mixed = lambda t: ". ".join(" ".join(r.sample(t.split(), 10)) for _ in range(8))
+    rows = [(i, k, mixed(t)) for i, (k, t) in enumerate([("mr", MR), ("hi", HI), ("en", EN)] * 160)]
+    return L.models(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+
+
+def test_rejected_text_has_low_confidence(fitted):
+    assert (fitted.limit < L.REJECT).all()
+    french, marathi = "Le conseil municipal ne peut accepter cette demande avant jeudi", "Sadar prastav manjur karanyat yet ahe ani nagarikanni takrari"
+    has, conf = L.judge([EN, french, marathi, "xqzv wkjh ptrl mnbv zxcq wrtp", MR, HI, "झङढ ठणझ ङञढ घझठ ढङझ ञझघ"], L.Words(fitted))
+    assert has[:4, 2].all() and conf[0, 2] > 0.5 and (conf[1:4, 2] < 0.5).all()
+    assert has[4, 0] and has[5, 1] and conf[4, 0] > 0.5 and conf[5, 1] > 0.5 and has[6, :2].sum() == 1 and conf[6].max() < 0.5
+
+
+def test_threshold(fitted):
+    said = [EN.split()] * L.LEAST
+    assert L.threshold(fitted, 2, said[1:]) == L.REJECT
+    assert -L.score(fitted, said[0])[:, 2].sum() / (len(EN) + 1) < L.threshold(fitted, 2, said) < L.REJECT
+
+
 def test_rows(spark, model):
     rows = [("d", 1, "mr", MR), ("d", 2, None, MR), ("d", 3, "en", HI), ("d", 4, " MR-IN ", MR), ("d", 5, "deva", HI), ("d", 6, "mr", None), ("d", 7, "", "  "), ("d", 8, "mul", MR + ". " + EN), ("d", 9, "latin", "12")]
     d = spark.createDataFrame([(*r, None, False) for r in rows], "table_name string, rec_id long, label string, text string, prior string, wrapped boolean")
