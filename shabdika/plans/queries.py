@@ -231,6 +231,15 @@ def q17_html_table_text(spark: SparkSession, d: str) -> DataFrame:
     return r.select("region_key", text.table_text_column(html).alias("table_text"))
 
 
+@query()
+def q17_html_table_all(spark: SparkSession, d: str) -> DataFrame:
+    # every table region with text; a bar between blanks or at a line's end parts cells, also empty ones
+    r = once(spark, d, "regions", "region_key", "type", "text").filter("type = 'table' and text is not null")
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(F.lit("<table><tr><td>"), F.replace(F.regexp_replace(safe, r"(?U)(?<!\S)\|(?!\S)", "</td><td>"), F.lit("\n"), F.lit("</td></tr><tr><td>")), F.lit("</td></tr></table>"))
+    return r.select("region_key", text.table_text_column(html).alias("table_text"))
+
+
 @query()
 def q18_html_block_text(spark: SparkSession, d: str) -> DataFrame:
     r = once(spark, d, "regions", "region_key", "text").filter("text is not null")

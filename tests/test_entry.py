@@ -30,3 +30,13 @@ def test_bootstrap_query_takes_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(core.edit, "bootstrap", lambda p, *by, rounds=2000, **kw: taken.append(rounds) or p.selectExpr("lang", "0.0D AS low", "0.0D AS high"))
     core.QUERIES["q54_bootstrap_ci"](spark, DIR)
     assert taken == [2000]
+
+
+def test_table_text_of_every_table_region(spark, tmp_path):
+    import re
+
+    texts = ["a | b\nc | d", "a – b |  ｆｕｌｌ\u00a0x", " a  b | | c ", "| x |\n|", "कर | R&D <t> 5 > 4 &lt;", "a|b | c", "", "   ", "\u2003| é"]
+    spark.createDataFrame([*[(i, "table", t) for i, t in enumerate(texts)], (3, "table", texts[3]), (90, "table", None), (91, "text", "a | b")], "region_key long, type string, text string").write.parquet(f"{tmp_path}/regions.parquet")
+    want = {i: "\n".join("\t".join(" ".join(c.split()) for c in re.split(r"(?<!\S)\|(?!\S)", line)) for line in t.split("\n")) for i, t in enumerate(texts)}
+    rows = core.QUERIES["q17_html_table_all"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and {r.region_key: r.table_text for r in rows} == want
