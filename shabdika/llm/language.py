@@ -2,8 +2,8 @@
 
 A character model per language: interpolated Kneser-Ney over characters within words, its probabilities
 and back-off weights in sorted key arrays. A segment gets the language of lowest cross-entropy per
-character; segments that fit no model (by a threshold fitted to held-out text), or two equally well, are rejected: they get
-the likeliest language only if nothing else in the text has one, with a low confidence. Words are scored once per
+character; segments that fit no model, or two equally well, are rejected. Text beyond a threshold fitted to held-out
+documents keeps its likeliest language, with a low confidence. Words are scored once per
 worker and batch; everything after that is arithmetic on arrays.
 """
 
@@ -34,7 +34,7 @@ SENTENCE, MARGIN = 6, 3.0
 CHANGE = 30.0
 #: Characters judged at once.
 AT_ONCE = 1_000_000
-#: Cross-entropy per character above which a segment is in none of the languages, where there are too few held-out segments to fit it.
+#: Cross-entropy per character above which a segment says nothing about its text's languages; also the threshold of confidence where there are too few held-out segments to fit one.
 REJECT = 5.0
 #: Every so many-th labelled document is held out to fit the thresholds of rejection; segments that takes, and the share of them to be kept.
 HELD, LEAST, KEEP = 5, 200, 0.999
@@ -257,7 +257,7 @@ def judge(texts: list[str], words: Words, prior: list[int] | None = None, wrappe
     rest[np.arange(len(total)), best] = -np.inf
     lead = np.minimum(top - rest.max(axis=1), 1e6)
     limit = words.model.limit[best]
-    fits = -top / np.maximum(1, chars) <= limit
+    fits = -top / np.maximum(1, chars) <= REJECT  # the fitted thresholds speak in the confidence, so that no language of a badly read text is lost
     sentence = (size >= SENTENCE) & (lead >= MARGIN) & fits
     np.logical_or.at(has, (seg_t[sentence], best[sentence]), True)
     # a change between the two languages of one script inside a segment
@@ -271,9 +271,7 @@ def judge(texts: list[str], words: Words, prior: list[int] | None = None, wrappe
     high = np.maximum(np.maximum.accumulate(part + apart) - apart, 0)
     rise, fall = np.maximum.reduceat(part - low, first), np.maximum.reduceat(high - part, first)
     turn = (rise >= CHANGE) & (fall >= CHANGE)
-    # neither language's model fits the whole of it: each word is judged by the better one
-    either = -np.add.reduceat(s[:, :2].max(axis=1), first) / np.maximum(1, chars) <= words.model.limit[:2].max()
-    two = deva & turn & (size >= 2 * SENTENCE) & either
+    two = deva & turn & (size >= 2 * SENTENCE) & fits
     for x in (0, 1):
         has[seg_t[two], x] = True
     # what all segments say together
