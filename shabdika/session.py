@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+_WRITTEN: list[str] = []
+
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark."""
@@ -24,14 +27,36 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint in the folder of `spark.checkpoint.dir`.
-
-    The folder is the one the cluster names. Only where none is set (tests, a laptop) a temporary
-    folder is used.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names. A single-machine session without one gets a temporary folder; on a cluster that is an error, as executors couldn't read it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="shabdika-"))
-    return df.checkpoint(eager)
+        if not where:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="shabdika-")
+        sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df`: its rows are written as a table to the shared folder and read again.
+
+    A columnar, compressed table takes a fraction of a checkpoint's disk, later readers take only the
+    columns they need, and no executor's loss can lose it. This runs a job at once. `clean` removes
+    what was written.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the tables that `cut` wrote in this process; frames made from them can't be read after that. Returns how many were removed."""
+    jvm, n = spark.sparkContext._jvm, len(_WRITTEN)
+    while _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
