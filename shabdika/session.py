@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings a session of ours wants; a session made elsewhere is left as it is.
@@ -53,6 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> pd.DataFrame:
+    """A bounded frame on the driver, by Arrow whatever the session's settings: rows that come one by one take many times their size there."""
+    return df.toArrow().to_pandas()
+
+
 def clean(spark: SparkSession) -> int:
     """Remove the tables that `cut` wrote in this process; frames made from them can't be read after that. Returns how many were removed."""
     jvm, n = spark.sparkContext._jvm, len(_WRITTEN)
