@@ -10,38 +10,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
+def _columns(ref: Sequence, hyp: Sequence) -> list[tuple[int, int]]:
+    """The table of distances column by column, as bits: where a cell is one more, and one less, than the cell above it.
+
+    A whole column is a few operations on long integers, so a pair of texts costs one round per unit of
+    the hypothesis.
+    """
+    full, where = (1 << len(ref)) - 1, {}
+    for i, x in enumerate(ref):
+        where[x] = where.get(x, 0) | 1 << i
+    more, less = full, 0
+    out = [(more, less)]
+    for y in hyp:
+        eq = where.get(y, 0)
+        keep = (((eq & more) + more) ^ more) | eq
+        right, left = (less | ~(keep | more)) << 1 | 1, (more & keep) << 1
+        more, less = (left | ~(eq | less | right)) & full, right & (eq | less) & full
+        out.append((more, less))
+    return out
+
+
+def _at(cols: list[tuple[int, int]], i: int, j: int) -> int:
+    """The distance of the first i units of the reference and j of the hypothesis."""
+    low = (1 << i) - 1
+    return j + (cols[j][0] & low).bit_count() - (cols[j][1] & low).bit_count()
+
+
 def distance(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance of two sequences, in two rows of memory."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, diag = i, row[0]
-        row[0] = i
-        for j, y in enumerate(b, 1):
-            left = min(left + 1, row[j] + 1, diag + (x != y))
-            diag, row[j] = row[j], left
-    return row[-1]
+    """Levenshtein distance of two sequences of hashable units."""
+    return _at(_columns(a, b), len(a), len(b))
 
 
 def operations(ref: Sequence, hyp: Sequence) -> tuple[int, int, int]:
     """(substitutions, deletions, insertions) of one best path, traced back diagonal first, then deletion, then insertion."""
-    n, m = len(ref), len(hyp)
-    t = [[i + j if not i * j else 0 for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            t[i][j] = min(t[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]), t[i - 1][j] + 1, t[i][j - 1] + 1)
+    cols, i, j = _columns(ref, hyp), len(ref), len(hyp)
     s = d = k = 0
-    i, j = n, m
-    while i or j:
-        if i and j and t[i][j] == t[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
-            s += ref[i - 1] != hyp[j - 1]
-            i, j = i - 1, j - 1
-        elif i and t[i][j] == t[i - 1][j] + 1:
+    while i and j:
+        here, other = _at(cols, i, j), ref[i - 1] != hyp[j - 1]
+        if here == _at(cols, i - 1, j - 1) + other:
+            s, i, j = s + other, i - 1, j - 1
+        elif cols[j][0] >> i - 1 & 1:
             d, i = d + 1, i - 1
         else:
             k, j = k + 1, j - 1
-    return s, d, k
+    return s, d + i, k + j
 
 
 @F.pandas_udf(IntegerType())

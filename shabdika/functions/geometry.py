@@ -80,3 +80,35 @@ def reclassified(kind: Column, w: Column, h: Column, cy: Column, page_w: float =
     low = cy / page_h > 0.35
     ok = (kind == "figure") & (w > 0) & (h > 0) & low
     return F.when(ok & aspect.between(0.6, 1.7) & (rel < 0.08), "stamp_seal").when(ok & (aspect > 1.8) & (rel < 0.04), "signature").otherwise(kind)
+
+
+def crop_rect(w: Column, h: Column) -> Column:
+    """The whole-pixel rectangle of a box clipped to its page, half to even; null if nothing is left."""
+    x1, y1, x2, y2 = (F.bround(c).cast("int") for c in clip(w, h))
+    return F.when((x2 > x1) & (y2 > y1), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+
+
+def offset(dx: Column, dy: Column) -> list[Column]:
+    """A box moved from its region's coordinates to the page's."""
+    return [(F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2")]
+
+
+def region_by_place(w: Column, h: Column) -> Column:
+    """A rough class of a box by its size and place on the page; the first rule that holds."""
+    bw, bh, top = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("y1") / h
+    part, aspect = bw * bh / (w * h), bw / F.greatest(bh, F.lit(1.0))
+    # The rules in their order, with their limits.
+    rules = [
+        ("header", (top < 0.08) & (aspect > 3)),
+        ("footer", (top > 0.88) & (aspect > 3)),
+        ("page_number", (top > 0.85) & (bw < w * 0.2)),
+        ("stamp_seal", (part < 0.015) & (aspect < 1.5)),
+        ("table", (bh > h * 0.25) & (bw > w * 0.6)),
+        ("title", (bh < h * 0.06) & (top < 0.20) & (bw > w * 0.3)),
+        ("caption", (bh < h * 0.06) & (aspect > 5)),
+        ("signature", part < 0.02),
+    ]
+    out = F.lit("text")
+    for name, ok in reversed(rules):
+        out = F.when(ok, name).otherwise(out)
+    return out

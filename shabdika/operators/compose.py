@@ -62,9 +62,20 @@ def pipe_table(cells: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, F.array_join(F.concat(F.slice(out, 1, 1), F.array(rule), F.slice(out, 2, 1 << 30)), "\n").alias("markdown"))
 
 
-def document(regions: DataFrame, doc: str = "doc_id", page: str = "page_index") -> DataFrame:
-    """Nested documents: pages with their regions in reading order, ready for a JSON sink."""
+def pages_nested(regions: DataFrame, doc: str = "doc_id", page: str = "page_index") -> DataFrame:
+    """(doc, page, schema_version, regions): each page with its regions in reading order, ready for a JSON sink. A page is the largest thing that is gathered; a document's pages stay rows, as one document may hold a large part of all."""
     skip = {doc, page}
     body = F.struct(*reading_key("region_id"), F.struct(*[c for c in regions.columns if c not in skip]).alias("t"))
-    pages = regions.groupBy(doc, page).agg(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["t"]).alias("regions"))
-    return pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(page, "regions"))).alias("pages")).select(doc, F.lit("1.0").alias("schema_version"), "pages")
+    p = regions.groupBy(doc, page).agg(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["t"]).alias("regions"))
+    return p.select(doc, page, F.lit("1.0").alias("schema_version"), "regions")
+
+
+def manifest(regions: DataFrame, doc: str = "doc_id", page: str = "page_index") -> DataFrame:
+    """(doc, n_pages, n_regions, first_page, last_page): what belongs to a document whose pages are rows."""
+    return regions.groupBy(doc).agg(F.count_distinct(page).alias("n_pages"), F.count("*").alias("n_regions"), F.min(page).alias("first_page"), F.max(page).alias("last_page"))
+
+
+def region_script(lines: DataFrame, by: list[str]) -> DataFrame:
+    """(by, script) of regions: the script of their lines if it is but one, else `mixed`; blank lines count for nothing, null if there are no others."""
+    s = lines.filter(~_blank(F.col("text"))).groupBy(*by).agg(F.count_distinct("script").alias("_n"), F.min("script").alias("_s"))
+    return lines.select(*by).distinct().join(s, by, "left").select(*by, F.when(F.col("_n") > 1, "mixed").otherwise(F.col("_s")).alias("script"))

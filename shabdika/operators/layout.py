@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,17 +58,17 @@ def xy_cut(boxes: list[Box], gap_x: float, gap_y: float, depth: int = 12) -> lis
 
 
 def column_aware(boxes: list[Box], width: float, tolerance: float = 0.15) -> list[int]:
-    """Keys by columns: a box joins the first column whose first box has its centre within the tolerance; columns left to right, boxes downwards."""
-    cols: list[list[Box]] = []
-    for b in sorted(boxes, key=lambda b: (b[0] + b[2]) / 2):
-        for c in cols:
-            if abs((c[0][0] + c[0][2] - b[0] - b[2]) / 2) <= width * tolerance:
-                c.append(b)
-                break
-        else:
-            cols.append([b])
-    cols.sort(key=lambda c: min(b[0] for b in c))
-    return [b[4] for c in cols for b in sorted(c, key=lambda b: b[1])]
+    """Keys by columns: a column takes the boxes whose centres lie within the tolerance right of its leftmost one; columns by their left edges, boxes downwards."""
+    if not boxes:
+        return []
+    b = np.array(sorted(boxes, key=lambda x: x[0] + x[2]), dtype=object)
+    x1, y1, mid = b[:, 0].astype(float), b[:, 1].astype(float), (b[:, 0] + b[:, 2]).astype(float) / 2
+    heads = [0]
+    while (nxt := int(np.searchsorted(mid, mid[heads[-1]] + width * tolerance, side="right"))) < len(mid):
+        heads.append(nxt)
+    left = np.minimum.reduceat(x1, heads)
+    column = np.argsort(np.argsort(left, kind="stable"))[np.searchsorted(heads, np.arange(len(mid)), side="right") - 1]
+    return [int(k) for k in b[np.lexsort((y1, column)), 4]]
 
 
 def ordered(regions: DataFrame, page: list[str], method: str = "xy_cut", kind: str = "type", key: str = "region_id", gap: float = 0.02) -> DataFrame:
@@ -105,9 +106,13 @@ def gaps(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     return d.filter(F.col(start) > F.col("gap_from")).select(*by, "gap_from", F.col(start).alias("gap_to"), (F.col(start) - F.col("gap_from")).alias("size"))
 
 
-def order_accuracy(rows: DataFrame, by: list[str], got: str, want: str) -> DataFrame:
-    """Share of pairs of a group in the right order; 1 for groups of fewer than two. Pairs are within one page, which bounds them."""
-    n = rows.groupBy(*by).agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col(want).alias("w"), F.col(got).alias("g"))).alias("a"))
+def order_accuracy(rows: DataFrame, by: list[str], got: str, want: str, key: str | None = None) -> DataFrame:
+    """(by, n, accuracy): share of pairs of a group in the right order; 1 for groups of fewer than two. Pairs are within one page, which bounds them.
+
+    A pair is taken in the order of `key` (of `want` without one), which decides how equal positions count.
+    """
+    item = F.struct(F.col(key or want).alias("k"), F.col(want).alias("w"), F.col(got).alias("g"))
+    n = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("a"))
     same = F.aggregate(F.transform("a", lambda x, i: F.size(F.filter(F.slice("a", i + 2, F.greatest(F.size("a") - i - 1, F.lit(0))), lambda y: (x["g"] < y["g"]) == (x["w"] < y["w"])))), F.lit(0), lambda s, v: s + v)
     return n.select(*by, "n", F.when(F.col("n") < 2, 1.0).otherwise(same / (F.col("n") * (F.col("n") - 1) / 2)).alias("accuracy"))
 

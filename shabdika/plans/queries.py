@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import edit, geometry, text
+from ..functions import edit, geometry, markup, text
 from ..operators import compose, curate, detection, layout, ranks, recognise
 from ..sources.tables import table
 
@@ -55,7 +55,7 @@ def _clean_sql(c: str) -> str:
     c = rf"regexp_replace({c}, '{_W}+([,;:!?.।॥])', '\1', 'g')"
     for _ in range(2):
         c = rf"regexp_replace({c}, '([,;:।॥])([^\t\n\x0b\f\r \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}])', '\1 \2', 'g')"
-    c = rf"regexp_replace(regexp_replace({c}, '[ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g')"
+    c = rf"regexp_replace(regexp_replace({c}, '[ \t]{{2,}}', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g')"
     c = rf"regexp_replace({c}, '[\t\x0b\f\r \x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+\n', chr(10), 'g')"
     return rf"nfc_normalize(regexp_replace(regexp_replace({c}, '^{_W}+', '', 'g'), '{_W}+$', '', 'g'))"
 
@@ -127,10 +127,10 @@ def q06_cer_no_spaces(spark: SparkSession, d: str) -> DataFrame:
     return edit.corpus(p.withColumn("hypothesis", F.replace("reference", F.lit("व"), F.lit(""))), "lang").select("lang", "errors", "ref_chars", "cer")
 
 
-@query(f"""SELECT row_id, e AS distance, reference FROM (SELECT row_id, reference, length(regexp_replace(reference, '[^{_LOST}]', '', 'g')) AS e FROM {_PAIRS}) ORDER BY e DESC, md5(reference) DESC, row_id LIMIT 10""")
+@query(f"""SELECT row_id, e AS distance, reference FROM (SELECT row_id, reference, translate(reference, '{_LOST}', '①②③④') AS h, length(regexp_replace(reference, '[^{_LOST}]', '', 'g')) AS e FROM {_PAIRS}) ORDER BY e DESC, encode(reference) DESC, encode(h) DESC, row_id LIMIT 10""")
 def q07_worst_k(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d).select("row_id", edit.char_distance(F.col("reference"), _substituted(F.col("reference"))).alias("distance"), "reference")
-    return p.orderBy(F.desc("distance"), F.desc(F.md5("reference")), "row_id").limit(10)
+    return p.orderBy(F.desc("distance"), F.desc("reference"), F.desc(_substituted(F.col("reference"))), "row_id").limit(10)
 
 
 @query(f"""SELECT lang, count(*) FILTER (WHERE a AND b) AS both_right, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE NOT a AND b) AS only_b, count(*) FILTER (WHERE NOT a AND NOT b) AS both_wrong
@@ -223,27 +223,37 @@ def q16_line_split_offsets(spark: SparkSession, d: str) -> DataFrame:
     return r.filter("line <> ''").select("region_key", F.col("line_no").cast("long").alias("line_no"), "line", (F.col("start") + lead).cast("long").alias("span_from"), (F.col("start") + lead + F.length("line")).cast("long").alias("span_to"))
 
 
-@query(r"""SELECT DISTINCT region_key, replace(text, ' | ', chr(9)) AS table_text FROM regions WHERE type = 'table' AND text IS NOT NULL AND text = regexp_replace(trim(text), ' +', ' ', 'g') AND NOT regexp_matches(text, '[^ -~\x{900}-\x{97f}\n]|^\||\|$|\n\||\|\n|\| \|')""")
+def _escaped(c: Column) -> Column:
+    for k, v in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return c
+
+
+# what marks come to, by what stands before them
+_SETTLED = "replace(replace(text, ' | ', chr(2)), chr(10), chr(1))"
+for _from, _to in ((r"(^|\n)[\x01\x02]+", r"\1"), (r"\t\x02*\x01[\x01\x02]*", "\t\n"), (r"\t\x02+", "\t"), (r"\x02+\x01[\x01\x02]*", "\t\n"), (r"\x01[\x01\x02]*", "\n"), (r"\x02+", "\t")):
+    _SETTLED = f"regexp_replace({_SETTLED}, '{_from}', '{_to}', 'g')"
+
+
+@query(f"SELECT DISTINCT region_key, trim({_SETTLED}, chr(10)) AS table_text FROM regions WHERE type = 'table' AND text IS NOT NULL")
 def q17_html_table_text(spark: SparkSession, d: str) -> DataFrame:
-    # rows whose cells hold plain blanks only: the SQL can't collapse the others as HTML does
-    r = once(spark, d, "regions", "region_key", "type", "text").filter("type = 'table' and text is not null").filter(F.col("text") == F.regexp_replace(F.trim("text"), " +", " ")).filter(~F.col("text").rlike(r"[^ -~\x{900}-\x{97f}\n]|^\||\|$|\n\||\|\n|\| \|"))
-    html = F.concat(F.lit("<table><tr><td>"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit(" | "), F.lit("</td><td>")), F.lit("\n"), F.lit("</td></tr><tr><td>")), F.lit("</td></tr></table>"))
-    return r.select("region_key", text.table_text_column(html).alias("table_text"))
+    r = once(spark, d, "regions", "region_key", "type", "text").filter("type = 'table' and text is not null")
+    html = F.concat(F.lit("<table><tr><td>"), F.replace(F.replace(_escaped(F.col("text")), F.lit(" | "), F.lit("</td><td>")), F.lit("\n"), F.lit("</td></tr><tr><td>")), F.lit("</td></tr></table>"))
+    return r.select("region_key", markup.table_text(html).alias("table_text"))
 
 
 @query()
 def q17_html_table_all(spark: SparkSession, d: str) -> DataFrame:
-    # every table region with text; a bar between blanks or at a line's end parts cells, also empty ones
+    # a bar between blanks of any kind or at a line's end parts cells, also empty ones
     r = once(spark, d, "regions", "region_key", "type", "text").filter("type = 'table' and text is not null")
-    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    html = F.concat(F.lit("<table><tr><td>"), F.replace(F.regexp_replace(safe, r"(?U)(?<!\S)\|(?!\S)", "</td><td>"), F.lit("\n"), F.lit("</td></tr><tr><td>")), F.lit("</td></tr></table>"))
-    return r.select("region_key", text.table_text_column(html).alias("table_text"))
+    html = F.concat(F.lit("<table><tr><td>"), F.replace(F.regexp_replace(_escaped(F.col("text")), r"(?U)(?<!\S)\|(?!\S)", "</td><td>"), F.lit("\n"), F.lit("</td></tr><tr><td>")), F.lit("</td></tr></table>"))
+    return r.select("region_key", markup.table_text(html).alias("table_text"))
 
 
-@query()
+@query(f"SELECT DISTINCT region_key, regexp_replace(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '^{_W}+', ''), '{_W}+$', '') AS block_text FROM regions WHERE text IS NOT NULL")
 def q18_html_block_text(spark: SparkSession, d: str) -> DataFrame:
     r = once(spark, d, "regions", "region_key", "text").filter("text is not null")
-    return r.select("region_key", text.block_text_column(F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))).alias("block_text"))
+    return r.select("region_key", markup.block_text(F.concat(F.lit("<p>"), F.replace(_escaped(F.col("text")), F.lit("\n"), F.lit("<br/>")), F.lit("</p>"))).alias("block_text"))
 
 
 @query(r"""SELECT backend, count(*) AS lines, count(*) FILTER (WHERE length(t) >= 4 AND n >= 2 AND n / greatest(1, length(t)) >= 0.3) AS valid
@@ -301,22 +311,49 @@ def q20_best_class(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("seq").agg(F.coalesce(F.max_by("cls", F.when(F.col("iou") > 0.3, F.struct(F.round("iou", 9), -F.col("gseq")))), F.lit(-1)).alias("best_class"))
 
 
-@query()
+def _iou_of(a: str, b: str) -> str:
+    i = f"greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
+    u = f"(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - {i})"
+    return f"(CASE WHEN least({a}.x2, {b}.x2) > greatest({a}.x1, {b}.x1) AND least({a}.y2, {b}.y2) > greatest({a}.y1, {b}.y1) AND {u} > 0 THEN ({i}) / {u} ELSE 0 END)"
+
+
+@query(f"""SELECT page, k.seq AS seq, i - 1 AS region_id FROM (SELECT page, unnest(kept) AS k, generate_subscripts(kept, 1) AS i FROM (SELECT page, list_reduce(list([b] ORDER BY -b.score, b.seq), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: {_iou_of('k', 'x[1]')} >= 0.25)) = 0 THEN list_concat(acc, x) ELSE acc END) AS kept
+    FROM (SELECT page, struct_pack(seq := seq, score := score, x1 := x1, y1 := y1, x2 := x2, y2 := y2) AS b FROM {_BOXES} WHERE x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL) GROUP BY page))""")
 def q21_suppress(spark: SparkSession, d: str) -> DataFrame:
     return detection.suppressed(_boxes(spark, d), threshold=0.25)
 
 
-@query()
+def _matched_sql(cls: str, thresholds: str) -> str:
+    """Predictions with the truth they take: a fold over each page and class, best score first; each takes its best free truth."""
+    boxes = f"(SELECT page, {cls} AS cls, seq, score, x1, y1, x2, y2 FROM {_BOXES})"
+    truth = f"(SELECT page, {cls} AS cls, seq, x1 + seq % 7 AS x1, y1, x2 + seq % 7 AS x2, y2 FROM {_BOXES})"
+    free = "list_filter(x[1].c, lambda y: NOT list_contains(list_transform(acc, lambda z: z.got), y.g))"
+    return f"""SELECT p.page, p.cls, p.seq, p.score, t.th AS threshold, h.got AS gseq FROM {boxes} p CROSS JOIN (SELECT unnest({thresholds}) AS th) t LEFT JOIN (SELECT page, cls, th, unnest(list_filter(hits, lambda z: z.got >= 0), recursive := true) FROM (SELECT page, cls, th,
+        list_reduce(list([struct_pack(p := seq, c := c, got := -1::BIGINT)] ORDER BY -score, seq), lambda acc, x: list_concat(acc, CASE WHEN len({free}) > 0 THEN [struct_pack(p := x[1].p, c := x[1].c, got := ({free})[1].g)] ELSE [struct_pack(p := x[1].p, c := x[1].c, got := -1::BIGINT)] END), [struct_pack(p := -1::BIGINT, c := []::STRUCT(o DOUBLE, g BIGINT)[], got := -1::BIGINT)]) AS hits
+        FROM (SELECT p.page, p.cls, t.th, p.seq, p.score, list(struct_pack(o := -{_iou_of('p', 'g')}::DOUBLE, g := g.seq) ORDER BY -{_iou_of('p', 'g')}, g.seq) AS c FROM {boxes} p JOIN {truth} g ON p.page = g.page AND p.cls = g.cls CROSS JOIN (SELECT unnest({thresholds}) AS th) t WHERE {_iou_of('p', 'g')} >= t.th GROUP BY ALL) GROUP BY page, cls, th)) h ON h.page = p.page AND h.cls = p.cls AND h.th = t.th AND h.p = p.seq"""
+
+
+def _ap_sql(thresholds: str) -> str:
+    rows = f"SELECT m.*, CASE WHEN gseq IS NULL THEN 0 ELSE 1 END AS hit FROM ({_matched_sql('cls', thresholds)}) m SEMI JOIN {_BOXES} b ON b.page = m.page AND b.cls = m.cls"
+    return f"""SELECT n.cls, t.th AS threshold, n.n_gt, coalesce(a.n_pred, 0) AS n_pred, coalesce(a.ap, 0) AS ap FROM (SELECT cls, count(*) AS n_gt FROM {_BOXES} GROUP BY cls) n CROSS JOIN (SELECT unnest({thresholds}) AS th) t LEFT JOIN
+        (SELECT cls, threshold, count(*) AS n_pred, sum(hit / n_gt * best) AS ap FROM (SELECT *, max(prec) OVER (PARTITION BY cls, threshold ORDER BY score DESC, page, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM (SELECT r.*, g.n_gt, sum(hit) OVER w / count(*) OVER w AS prec FROM ({rows}) r JOIN (SELECT cls, count(*) AS n_gt FROM {_BOXES} GROUP BY cls) g USING (cls) WINDOW w AS (PARTITION BY cls, threshold ORDER BY score DESC, page, seq ROWS UNBOUNDED PRECEDING))) GROUP BY cls, threshold) a ON a.cls = n.cls AND a.threshold = t.th"""
+
+
+_TEN = "[" + ", ".join(f"{round(0.5 + 0.05 * i, 2)}::DOUBLE" for i in range(10)) + "]"
+
+
+@query(f"SELECT cls, threshold, n_gt, n_pred, round(ap, 9) AS ap FROM ({_ap_sql('[0.5::DOUBLE]')})")
 def q22_ap50(spark: SparkSession, d: str) -> DataFrame:
     return detection.average_precision(_boxes(spark, d), _truth(spark, d), [0.5]).withColumn("ap", F.round("ap", 9))
 
 
-@query()
+@query(f"SELECT round(avg(ap) FILTER (WHERE threshold = 0.5), 9) AS map50, round(avg(ap) FILTER (WHERE threshold = 0.75), 9) AS map75, round(avg(ap), 9) AS map FROM ({_ap_sql(_TEN)})")
 def q23_map5095(spark: SparkSession, d: str) -> DataFrame:
-    return detection.mean_ap(detection.average_precision(_boxes(spark, d), _truth(spark, d), [round(0.5 + 0.05 * i, 2) for i in range(10)]))
+    m = detection.mean_ap(detection.average_precision(_boxes(spark, d), _truth(spark, d), [round(0.5 + 0.05 * i, 2) for i in range(10)]))
+    return m.select(*[F.round(c, 9).alias(c) for c in ("map50", "map75", "map")])
 
 
-@query()
+@query(f"""SELECT count(*) AS n_pred, count(gseq) AS tp, any_value(n_gt) AS n_gt, round(count(gseq) / count(*), 6) AS precision, round(count(gseq) / any_value(n_gt), 6) AS recall FROM ({_matched_sql('0', '[0.5::DOUBLE]')}) CROSS JOIN (SELECT count(*) AS n_gt FROM {_BOXES})""")
 def q24_prf_agnostic(spark: SparkSession, d: str) -> DataFrame:
     one = F.lit(0)
     p, t = _boxes(spark, d).withColumn("cls", one), _truth(spark, d).withColumn("cls", one)
@@ -382,12 +419,7 @@ def q29_interval_widest_gap(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT n.doc_id, n.page_index, n.n, round(CASE WHEN n.n < 2 THEN 1 ELSE coalesce(p.ok, 0) / (n.n * (n.n - 1) / 2) END, 6) AS accuracy FROM (SELECT doc_id, page_index, count(*) AS n FROM {_REGIONS} GROUP BY ALL) n LEFT JOIN
     (SELECT a.doc_id, a.page_index, count(*) FILTER (WHERE (a.reading_order < b.reading_order) = (a.region_id < b.region_id)) AS ok FROM {_REGIONS} a JOIN {_REGIONS} b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.region_key < b.region_key GROUP BY ALL) p ON p.doc_id = n.doc_id AND p.page_index = n.page_index""")
 def q30_pair_order_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    r = _regions(spark, d)
-    # as pairs count once whichever comes first, equal orders must be told in one direction: by key
-    pairs = r.alias("a").join(r.alias("b"), _PAGE).filter("a.region_key < b.region_key")
-    ok = pairs.groupBy(*_PAGE).agg(F.count_if((F.col("a.reading_order") < F.col("b.reading_order")) == (F.col("a.region_id") < F.col("b.region_id"))).alias("ok"))
-    n = r.groupBy(*_PAGE).agg(F.count("*").alias("n")).join(ok, _PAGE, "left")
-    return n.select(*_PAGE, "n", F.round(F.when(F.col("n") < 2, 1.0).otherwise(F.coalesce("ok", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2)), 6).alias("accuracy"))
+    return layout.order_accuracy(_regions(spark, d), _PAGE, "reading_order", "region_id", "region_key").withColumn("accuracy", F.round("accuracy", 6))
 
 
 _HAS = "text IS NOT NULL AND regexp_matches(text, '[^" + _W[1:-1] + "]')"
@@ -414,9 +446,16 @@ def q33_markdown(spark: SparkSession, d: str) -> DataFrame:
     return compose.markdown(_regions(spark, d), _PAGE, key="region_key")
 
 
-@query()
-def q33_documents_nested(spark: SparkSession, d: str) -> DataFrame:
-    return compose.document(_regions(spark, d).drop("region_key")).select("doc_id", "schema_version", F.to_json("pages").alias("pages"))
+@query(f"""SELECT doc_id, page_index, '1.0' AS schema_version, string_agg(region_id || ':' || coalesce(type, '') || ':' || coalesce(length(text), -1), ',' ORDER BY CASE WHEN reading_order < 0 THEN 1 ELSE 0 END, reading_order, y1, x1, region_id) AS regions FROM {_REGIONS} GROUP BY doc_id, page_index""")
+def q33_pages_nested(spark: SparkSession, d: str) -> DataFrame:
+    p = compose.pages_nested(_regions(spark, d).drop("region_key"))
+    item = lambda r: F.concat_ws(":", r["region_id"], F.coalesce(r["type"], F.lit("")), F.coalesce(F.length(r["text"]), F.lit(-1)))
+    return p.withColumn("regions", F.array_join(F.transform("regions", item), ","))
+
+
+@query(f"SELECT doc_id, count(DISTINCT page_index) AS n_pages, count(*) AS n_regions, min(page_index) AS first_page, max(page_index) AS last_page FROM {_REGIONS} GROUP BY doc_id")
+def q33_documents_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return compose.manifest(_regions(spark, d))
 
 
 # --- curation ------------------------------------------------------------------------------------
@@ -643,9 +682,13 @@ def q58_leaked_keys(spark: SparkSession, d: str) -> DataFrame:
     return curate.leaked(table(spark, d, "index_test"), "image_path")
 
 
-@query("""SELECT measure_id, count(*) FILTER (WHERE g >= 10) + 1 AS pieces10, count(*) FILTER (WHERE g >= 20) + 1 AS pieces20, count(*) FILTER (WHERE g >= 40) + 1 AS pieces40 FROM (SELECT measure_id, gap_x[i + 1] - gap_x[i] AS g FROM (SELECT DISTINCT measure_id, gap_x FROM measure_row), range(1, 200) t(i) WHERE i < len(gap_x)) GROUP BY measure_id""")
+@query("""SELECT measure_id, len(list_filter(g, lambda x: x >= 10)) + 1 AS pieces10, len(list_filter(g, lambda x: x >= 20)) + 1 AS pieces20, len(list_filter(g, lambda x: x >= 40)) + 1 AS pieces40 FROM (SELECT DISTINCT measure_id, coalesce(list_transform(range(1, len(gap_x)), lambda i: gap_x[i + 1] - gap_x[i]), []) AS g FROM measure_row)""")
 def q59_segments_per_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _gaps(spark, d).groupBy("measure_id").agg(*[(F.count_if(F.col("g") >= k) + 1).alias(f"pieces{k}") for k in (10, 20, 40)])
+    m = table(spark, d, "measure_row").groupBy("measure_id").agg(F.first("gap_x", ignorenulls=True).alias("gap_x"))
+    n = F.size("gap_x")
+    g = F.when(n > 1, F.zip_with(F.slice("gap_x", 2, n - 1), F.slice("gap_x", 1, n - 1), lambda a, b: a - b)).otherwise(F.array().cast("array<int>"))
+    over = lambda k: F.size(F.filter(g, lambda x: x >= k)) + 1
+    return m.select("measure_id", *[over(k).cast("long").alias(f"pieces{k}") for k in (10, 20, 40)])
 
 
 @query("""SELECT row_id, source, CASE WHEN r <= 2 THEN 'shared' WHEN r <= 6 THEN 'transcribe' ELSE 'pool' END AS tier, a AS annotator FROM (SELECT row_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || row_id::VARCHAR), row_id) AS r FROM (SELECT DISTINCT row_id, source FROM index_test)), range(0, 3) t(a) WHERE r <= 2 OR a = r % 3""")
@@ -678,3 +721,6 @@ def q63_lines_in_regions(spark: SparkSession, d: str) -> DataFrame:
 def q64_mojibake_whole(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", "text")
     return t.select("doc_id", text.mojibake_column(F.col("text")).alias("fixed")).join(t, "doc_id").filter("not (fixed <=> text)").select("doc_id", "fixed")
+
+
+from . import analyses  # noqa: E402, F401

@@ -8,8 +8,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..functions.text import nfc, strip
 
 
 def csv_index(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -55,11 +58,11 @@ def coco(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def annotation_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, text) of "name<tab>text" or "name text" lines: a tab wins over the first blank; empty texts go."""
+    """(file, name, text) of "name<tab>text" or "name text" lines: a tab wins over the first blank; texts are composed, empty ones go."""
     d = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
     tab = F.instr("value", "\t") > 0
     p = F.when(tab, F.split("value", "\t", 2)).otherwise(F.split("value", " ", 2))
-    return d.select("file", p[0].alias("name"), F.trim(F.try_element_at(p, F.lit(2))).alias("text")).filter("text is not null and text <> ''")
+    return d.select("file", p[0].alias("name"), nfc(F.trim(F.try_element_at(p, F.lit(2)))).alias("text")).filter("text is not null and text <> ''")
 
 
 def corpus_lines(spark: SparkSession, path: str, least: int = 5, most: int = 60) -> DataFrame:
@@ -70,27 +73,32 @@ def corpus_lines(spark: SparkSession, path: str, least: int = 5, most: int = 60)
 
 def documents_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Documents as the schema has them, and those that don't fit it."""
-    d = spark.read.schema(schema + ", _corrupt_record string").json(path, multiLine=False, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    bad = F.col("_corrupt_record").isNotNull()
-    return d.filter(~bad).drop("_corrupt_record"), d.filter(bad).select("_corrupt_record")
+    j = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    d = spark.read.text(path).filter(F.trim("value") != "").select(j.alias("j"), "value")
+    bad = F.col("j._corrupt_record").isNotNull()
+    return d.filter(~bad).select("j.*").drop("_corrupt_record"), d.filter(bad).select(F.col("value").alias("_corrupt_record"))
 
 
 def archive_members(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(archive, member, content) of tar and zip files, one pass each; `wanted` (name) keeps members by full path or base name."""
+    """(archive, member, content) of tar and zip files, one pass each; `wanted` (name) keeps members by full path or base name.
+
+    Each file is one task's; its members are passed on one by one as they are read, so a task never holds them all.
+    """
     f = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    def members(c: bytes) -> Iterator[tuple[str, bytes]]:
+        if zipfile.is_zipfile(io.BytesIO(c)):
+            with zipfile.ZipFile(io.BytesIO(c)) as z:
+                yield from ((n, z.read(n)) for n in z.namelist() if not n.endswith("/"))
+        else:
+            with tarfile.open(fileobj=io.BytesIO(c)) as t:
+                yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, c in zip(b.path, b.content):
-                rows = []
-                if zipfile.is_zipfile(io.BytesIO(c)):
-                    with zipfile.ZipFile(io.BytesIO(c)) as z:
-                        rows = [(p, n, z.read(n)) for n in z.namelist() if not n.endswith("/")]
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(c)) as t:
-                        rows = [(p, m.name, t.extractfile(m).read()) for m in t if m.isfile()]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                for name, content in members(c):
+                    yield pd.DataFrame({"archive": [p], "member": [name], "content": [content]})
 
     d = f.mapInPandas(run, "archive string, member string, content binary")
     if wanted is None:
@@ -109,3 +117,93 @@ def page_numbers(members: DataFrame) -> DataFrame:
 def pixels_digest(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def named_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): the base name without its type as the text, for image folders that have no annotation file."""
+    f = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
+    return f.withColumn("text", F.regexp_replace(F.regexp_replace("file", r"^.*/", ""), r"\.[^.]*$", "")).filter("text <> ''")
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """(word): distinct lines, trimmed and composed; blank ones go."""
+    return spark.read.text(path).select(nfc(strip(F.col("value"))).alias("word")).filter("word <> ''").distinct()
+
+
+def annotation_misses(lines: DataFrame, files: DataFrame, name: str = "name") -> DataFrame:
+    """(n_lines, n_missing): annotations, and those whose file isn't there. Names are compared without folders."""
+    base = lambda c: F.regexp_replace(c, r"^.*[/\\]", "")
+    have = files.select(base(F.col("path")).alias("_b")).distinct().withColumn("_ok", F.lit(1))
+    return lines.withColumn("_b", base(F.col(name))).join(have, "_b", "left").agg(F.count("*").alias("n_lines"), F.count_if(F.col("_ok").isNull()).alias("n_missing"))
+
+
+def benchmark(images: DataFrame, texts: DataFrame, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, image, text) of a benchmark's pages, and (rule, key, detail) of what was left out.
+
+    `images` has path, `texts` path and text. Pages and texts pair by the stem of their names, or by
+    `manifest` (image, text, approved): ids there must stand once, and pages that aren't approved are left out.
+    """
+    stem = lambda c: F.regexp_replace(F.regexp_replace(c, r"^.*[/\\]", ""), r"\.[^.]*$", "")
+    i = images.select(stem(F.col("path")).alias("id"), F.col("path").alias("image"))
+    t = texts.select(stem(F.col("path")).alias("tid"), strip(F.col("text")).alias("text"))
+    gap = lambda d, rule, key, detail: d.select(F.lit(rule).alias("rule"), F.col(key).alias("key"), F.lit(detail).alias("detail"))
+    if manifest is None:
+        return i.join(t.withColumnRenamed("tid", "id"), "id"), gap(i.join(t, i.id == t.tid, "left_anti"), "has_text", "id", "absent")
+    m = manifest.select(stem(F.col("image")).alias("id"), stem(F.col("text")).alias("tid"), F.coalesce("approved", F.lit(False)).alias("approved"))
+    twice = m.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    ok = m.filter("approved").join(twice, "id", "left_anti")
+    out = gap(twice, "once_in_manifest", "id", "repeated").unionByName(gap(m.filter("not approved"), "approved", "id", "row")).unionByName(gap(i.join(m, "id", "left_anti"), "in_manifest", "id", "absent")).unionByName(gap(m.join(i, "id", "left_anti"), "has_image", "id", "absent")).unionByName(gap(ok.join(t, "tid", "left_anti"), "has_text", "id", "absent"))
+    return i.join(ok, "id").join(t, "tid").select("id", "image", "text"), out
+
+
+@F.pandas_udf(StringType())
+def json_text(s: pd.Series) -> pd.Series:
+    """All values of "text" in a JSON of unknown shape, in their order, on lines; what isn't JSON is itself the text. Null stays null."""
+    import json
+
+    def one(raw: str | None) -> str | None:
+        try:
+            todo, out = [json.loads(raw)] if raw and raw.strip() else [], []
+        except ValueError:
+            return raw
+        while todo:
+            x = todo.pop()
+            if isinstance(x, list):
+                todo += x[::-1]
+            elif isinstance(x, dict):
+                if isinstance(x.get("text"), str) and x["text"]:
+                    out.append(x["text"])
+                todo += [v for k, v in x.items() if k != "text"][::-1]
+        return None if raw is None else "\n".join(out)
+
+    return s.map(one)
+
+
+def envelope_text(c: Column) -> Column:
+    """The first text in a service's answer, wherever its versions put it; empty if there is none."""
+    ways = [f"$.{node}[0].output[0].{f}" for node in ("pipelineResponse", "output") for f in ("source", "text", "target")] + [f"$.{node}[0].{f}" for node in ("pipelineResponse", "output") for f in ("source", "text")]
+    return F.coalesce(*[F.nullif(strip(F.get_json_object(c, w)), F.lit("")) for w in ways], F.lit(""))
+
+
+def batch_pages(answers: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(batch, image_id, text, failed) of saved batches, and (rule, key, detail) of batches that can't be used.
+
+    `answers` has batch, page_num, status and blocks (reading_order, y, x, text); `mapping` has batch,
+    image_id and output_page. Page numbers count within their batch, from 1 without gaps; a page that is
+    repeated, absent or not asked for spoils its batch. Blocks come in their stated order, else by place;
+    a page that wasn't completed, or has no text, is empty and failed.
+    """
+    m = mapping.select("batch", "image_id", F.col("output_page").alias("page_num"))
+    shape = m.groupBy("batch").agg(F.count("*").alias("n"), F.min("page_num").alias("lo"), F.max("page_num").alias("hi"), F.count_distinct("page_num").alias("d"), F.count_distinct("image_id").alias("i"))
+    bad = shape.filter("n <> d or n <> i or lo <> 1 or hi <> n").select(F.lit("mapping_contiguous").alias("rule"), F.col("batch").cast("string").alias("key"), F.lit("mapping").alias("detail"))
+    per = answers.groupBy("batch", "page_num").agg(F.count("*").alias("k"))
+    both = per.join(m, ["batch", "page_num"], "full_outer")
+    off = both.filter("k is null or image_id is null or k > 1").select(F.when(F.col("k").isNull(), "page_answered").when(F.col("image_id").isNull(), "page_asked").otherwise("page_once").alias("rule"), F.col("batch").cast("string").alias("key"), F.col("page_num").cast("string").alias("detail"))
+    gaps = bad.unionByName(off)
+    blank = lambda t: ~F.coalesce(t.rlike(r"(?U)\S"), F.lit(False))
+    order = F.transform(F.col("blocks"), lambda b, i: F.struct(b["reading_order"].isNull().alias("k0"), b["reading_order"].alias("k1"), b["y"].alias("k2"), b["x"].alias("k3"), i.alias("k4"), strip(b["text"]).alias("t")))
+    text = F.array_join(F.transform(F.filter(F.array_sort(order), lambda b: ~blank(b["t"])), lambda b: b["t"]), "\n")
+    done = F.coalesce(F.lower("status").isin("completed", "complete", "succeeded", "success"), F.lit(False))
+    x = answers.join(m, ["batch", "page_num"]).join(gaps.select("key").distinct(), F.col("batch").cast("string") == F.col("key"), "left_anti")
+    x = x.select("batch", "image_id", F.when(done, F.coalesce(text, F.lit(""))).otherwise("").alias("text"))
+    return x.withColumn("failed", F.col("text") == ""), gaps

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shabdika.config import Config
 from shabdika.operators import compose, curate, recognise
 from shabdika.sources import readers, sinks
-from shabdika.sources.tables import latest
+from shabdika.sources.tables import earliest
 from shabdika.streaming import files
 
 
@@ -89,8 +89,7 @@ def test_registry(spark):
 
 def test_alignment(spark):
     assert recognise.line_spans("a\n\n  bc \nd") == [("a", 0, 1), ("bc", 5, 7), ("d", 9, 10)]
-    got = recognise.aligned([100.0, 200.0], ["x" * 10, "y" * 20])
-    assert [g[2] for g in got] == ["match_1", "match_1"]
+    assert [g[:2] for g in recognise.aligned([100.0, 200.0], [10, 20])] == [(0, 1), (1, 2)]
     crops = spark.createDataFrame([("p", 1, 0, 100.0, 20.0), ("q", 2, 0, 10.0, 20.0)], "page string, crop_id long, seq int, width double, height double")
     pages = spark.createDataFrame([("p", "x" * 10), ("q", None)], "page string, text string")
     assert {(r.crop_id, r.status) for r in recognise.align_pages(crops, pages, "page").collect()} == {(1, "candidate_match"), (2, "no_match")}
@@ -154,9 +153,9 @@ def test_stream_passes_over_what_is_written(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
-def test_latest(spark):
+def test_earliest(spark):
     d = spark.createDataFrame([(1, "a", 2), (1, "a", 1), (None, "b", 1), (2, None, None)], "id int, v string, loaded_at int")
-    assert {tuple(r) for r in latest(d, "id").select("id", "v", "loaded_at").collect()} == {(1, "a", 1), (2, None, None)}
+    assert {tuple(r) for r in earliest(d, "id").select("id", "v", "loaded_at").collect()} == {(1, "a", 1), (2, None, None)}
 
 
 def test_leaked_and_nearest(spark):

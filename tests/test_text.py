@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shabdika.functions import edit, text
+from shabdika.functions import edit, markup, text
 
 
 def one(spark, fn, value):
@@ -39,13 +39,44 @@ def test_script(spark):
     assert one(spark, lambda c: text.has_devanagari(c), "") is False
 
 
-def test_markup_and_mojibake():
-    assert text.table_text("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d &amp; e</td></tr></table>") == "a\tb\nc\td & e"
-    assert text.table_text("plain") == "plain" and text.table_text(None) is None
-    assert text.block_text("<h1>A</h1><p>b<br>c</p><ul><li>d</li></ul>") == "A\nb\nc\nd"
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d &amp; e</td></tr></table>", "a\tb\nc\td & e"),
+        ("<table><tr><th>नाव</th><th>दिनांक</th></tr><tr><td>राम</td><td>२०२६</td></tr></table>", "नाव\tदिनांक\nराम\t२०२६"),
+        ("before<table><TR class='x'><td>a<br>b</td><td> c  d </td></TR></table>after", "before\na\nb\t c  d \nafter"),
+        ("<tr><td></td><td>x</td><td></td><td>y</td></tr>", "x\ty"),
+        ("plain", "plain"),
+        ("a < b &lt;td&gt;", "a < b <td>"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_table_text(spark, html, want):
+    assert one(spark, markup.table_text, html) == want
+
+
+@pytest.mark.parametrize(("html", "want"), [("<p>मराठी मजकूर</p><table><tr><td>अ</td><td>१२</td></tr></table>", "मराठी मजकूर\n\n अ  १२"), ("<h1>A</h1><p>b<br>c</p>", "A\n\nb\nc"), ("x<br/>y<!-- <p> -->z", "x\n\nyz"), ("R&amp;D", "R&D"), (" ", ""), (None, None)])
+def test_block_text(spark, html, want):
+    assert one(spark, markup.block_text, html) == want
+
+
+def test_mojibake(spark):
     word = KA + AA
-    assert text.repair_mojibake(word.encode().decode("latin-1")) == word
-    assert text.repair_mojibake("café") == "café" and text.repair_mojibake("") == ""
+    for page in ("latin-1", "cp1252"):
+        bad = "शासन".encode().decode(page, "ignore") if page == "latin-1" else word.encode().decode("latin-1")
+        assert text.repair_mojibake(bad) in ("शासन", word)
+    assert text.repair_mojibake("महाराष्ट्र शासन") == "महाराष्ट्र शासन" and text.repair_mojibake("à¤" + KA) == "à¤" + KA
+    assert text.repair_mojibake("Corrigendum – III") == "Corrigendum – III" and text.repair_mojibake("à§\xff") == "à§\xff" and text.repair_mojibake("") == ""
+    assert one(spark, text.mojibake_column, word.encode().decode("latin-1")) == word and one(spark, text.mojibake_column, None) is None
+
+
+def test_lone_tab_stays(spark):
+    assert one(spark, text.collapse_whitespace, "a\tb \t c") == "a\tb c"
+
+
+def test_lexical_helpers(spark):
+    assert one(spark, text.strip_punctuation, "“(कर)।") == "कर" and one(spark, text.lexical, "(ab)") is False and one(spark, text.devanagari_count, "कर1") == 2
 
 
 def test_distance_and_operations():
@@ -55,6 +86,14 @@ def test_distance_and_operations():
     assert edit.distance("one two three four".split(), "one 2 three four".split()) == 1
 
 
+def table_of(a, b):
+    t = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = min(t[i - 1][j - 1] + (a[i - 1] != b[j - 1]), t[i - 1][j] + 1, t[i][j - 1] + 1)
+    return t
+
+
 def test_operations_sum_to_distance():
     from hypothesis import given, settings
     from hypothesis import strategies as st
@@ -62,7 +101,10 @@ def test_operations_sum_to_distance():
     @settings(max_examples=80, deadline=None)
     @given(st.text("abc", max_size=8), st.text("abc", max_size=8))
     def check(a, b):
-        assert sum(edit.operations(a, b)) == edit.distance(a, b) == edit.distance(b, a)
+        t = table_of(a, b)
+        assert sum(edit.operations(a, b)) == edit.distance(a, b) == edit.distance(b, a) == t[-1][-1]
+        cols = edit._columns(a, b)
+        assert all(edit._at(cols, i, j) == t[i][j] for i in range(len(a) + 1) for j in range(len(b) + 1))
 
     check()
 
