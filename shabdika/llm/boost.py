@@ -17,6 +17,11 @@ class Boost:
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)]) if len(self.cuts) else np.zeros((len(x), 0), int)
 
+    def _cuts(self, v: np.ndarray) -> np.ndarray:
+        """Between all values where they are few, so that rare ones count too; else at quantiles."""
+        u = np.unique(v)
+        return u[1:] if len(u) <= self.bins else np.unique(np.quantile(v, np.linspace(0, 1, self.bins + 1)[1:-1]))
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Boost":
         """With one class only, the model says that class everywhere; with no rows, one half."""
         x, y = np.asarray(x, float), np.asarray(y, float)
@@ -26,7 +31,7 @@ class Boost:
         self.base = float(np.log(p / (1 - p)))
         if y.min() == y.max():
             return self
-        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        self.cuts = [self._cuts(x[:, j]) for j in range(x.shape[1])]
         b = self._bin(x)
         f = np.full(len(y), self.base)
         for _ in range(self.rounds):

@@ -2,8 +2,10 @@
 
 Misread words find their frequent word through an inverted join on character 2-grams: of any 2k + 1
 grams of a word, a word within k edits shares one, so only the 2k + 1 rarest are looked up. A boosted
-ranker, fitted on pairs whose neighbouring words speak for or against them, chooses the replacement. A
-boosted classifier of lines, fitted on lines that do or don't come back on other pages, finds furniture.
+ranker, fitted on pairs whose neighbouring words speak for or against them, chooses the replacement. Two
+boosted classifiers of lines tell running heads, taught by lines that come back on other pages, and page
+numbers, taught by numbers that go along with the pages. A boosted classifier of line pairs tells whether
+a word goes on in the next line, taught by pairs whose joined word is known from elsewhere.
 """
 
 from __future__ import annotations
@@ -19,23 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import cut, gathered
 from . import lookalike
 from .boost import Boost
 
-#: Lines, and candidate lines, that the two models are fitted on. All else covers every row.
+#: Lines, candidate lines and line pairs (of either kind) that the models are fitted on. All else covers every row.
 SAMPLE = 15_000
-#: Lines from the top or the bottom of a page where furniture stands.
+#: A running head stands among so many lines from the top or the bottom of its page.
 EDGE = 3
-#: A word is ordinary from this count on, or this share of all lines, whichever is more.
-LEAST, SHARE = 8, 2e-4
-#: A frequent word stands at least so many times as often as its misreading.
-RATIO = 20
+#: A word is ordinary from this count on; a frequent word stands at least RATIO times as often as its misreading.
+LEAST, RATIO = 8, 20
 #: Buckets for words' shares among heads and body, and for counts of 2-grams: what is broadcast is bounded by them.
 BUCKETS = 1 << 14
-# Words for "page", and signs that mark a broken word at the end of a line.
-PAGE_WORDS = ("पृष्ठ", "पृष", "पृ", "पान", "पा", "page", "pag", "pg", "p")
-HYPHENS = "-‐‑­¬"
+#: Misread words up to which their list goes to all tasks; beyond that they are joined by a shuffle.
+SPREAD = 200_000
 
 _LETTER = "A-Za-zÀ-ɏऀ-ॣॱ-ॿ"
 _WORD = re.compile(f"[{_LETTER}0-9०-९](?:[{_LETTER}0-9०-९]|[!|$@](?=[{_LETTER}]))*")
@@ -46,22 +45,21 @@ _DIGITS = str.maketrans("०१२३४५६७८९", "0123456789")
 _HEADSHAPE = re.compile(f"[^{_LETTER}]+")
 
 
-def broken(text: str) -> bool:
-    """Whether a line ends with a sign of a broken word right after a letter."""
+def ending(text: str) -> int:
+    """The code point a line ends with if that is a sign right after a letter, else 0: what may part a word."""
     t = _TAIL.sub("", text)
-    return len(t) > 1 and t[-1] in HYPHENS and bool(re.match(f"[{_LETTER}]", t[-2]))
+    return ord(t[-1]) if len(t) > 1 and not re.match(f"[{_LETTER}0-9०-९]", t[-1]) and re.match(f"[{_LETTER}]", t[-2]) else 0
 
 
-def page_number(text: str) -> int | None:
-    """The number, if a line states nothing but a page number (with the word for page, signs, and the number of pages)."""
+def numbers_of(text: str) -> tuple[int | None, int, int, int, int, int]:
+    """Of a line that has a number and at most one word besides: its first number, how many numbers, bars, dashes and brackets, and other signs there are, and the digits of its longest number. Of other lines nothing."""
     nums = _NUMBER.findall(text)
     rest = _NUMBER.sub(" ", text)
-    said = re.findall(f"[{_LETTER}]+", rest)
-    if not 1 <= len(nums) <= 2 or len(nums[0]) > 5 or len(said) > 1 or said and said[0].lower() not in PAGE_WORDS:
-        return None
-    if re.search(r"[^\s\-–—()\[\]|।/.:]", re.sub(f"[{_LETTER}]+", "", rest)):
-        return None
-    return int(nums[0].translate(_DIGITS))
+    if not nums or len(re.findall(f"[{_LETTER}]+", rest)) > 1:
+        return None, 0, 0, 0, 0, 0
+    rest = re.sub(f"[{_LETTER}]+", "", rest)
+    bars, frames = len(re.findall("[|।]", rest)), len(re.findall(r"[\-–—()\[\]]", rest))
+    return min(int(nums[0].translate(_DIGITS)), 1 << 30) if len(nums[0]) < 12 else 1 << 30, len(nums), bars, frames, len(re.findall(r"[^\s\-–—()\[\]|।/.:]", rest)), max(map(len, nums))
 
 
 def sampled(df: DataFrame, *cols: str) -> pd.DataFrame:
@@ -69,74 +67,142 @@ def sampled(df: DataFrame, *cols: str) -> pd.DataFrame:
     n = df.count()
     at = F.pmod(F.xxhash64("textline_id"), F.lit(1 << 40))
     few = df.select(at.alias("at"), *cols).filter(F.col("at") < int((1 << 40) * min(1.0, 1.1 * SAMPLE / max(1, n))))
-    return few.toPandas().sort_values("at", kind="stable").head(SAMPLE)
+    return gathered(few).sort_values("at", kind="stable").head(SAMPLE)
 
 
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+_LINE = "struct<id:bigint,region:int,line:int,words:array<string>,sign:int,pn:int,numbers:int,bars:int,frames:int,signs:int,digits:int,key:string,ended:boolean,full:double,top:int,bottom:int>"
+_NAMES = [x.split(":")[0] for x in _LINE[7:-1].split(",")]
+
+
 def read(lines: DataFrame) -> DataFrame:
-    """Lines with what can be seen in one alone: words, breaks, page numbers, the key by which heads are compared."""
-    shape = "textline_id long, doc_id string, page_index int, region_id int, line_no int, words array<string>, hy boolean, pn int, key string, ended boolean"
+    """(doc_id, page_index, lines): a page a row, its lines in order with what can be seen in them: words, the sign at the end, numbers, the key by which heads are compared, whether they end a sentence, how full they are, their places from top and bottom.
+
+    Raw lines are brought together by page and sorted; repeated ones count once. No task holds a document.
+    """
+    page = ["doc_id", "page_index"]
+    x = lines.filter("textline_id is not null and text is not null").select("textline_id", *page, "region_id", "line_no", "text", (F.col("x2") if "x2" in lines.columns else F.lit(None).cast("double")).alias("x2"))
+    x = x.repartition(*page).sortWithinPartitions(*page, "region_id", "line_no", "textline_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         form = lookalike.Rewriter(lookalike.classes({}))
+        at, rows, seen, widest = None, [], set(), 0.0
+        whole = lambda v: None if v is None or v != v else int(v)
+
+        def ended() -> tuple:
+            for k, r in enumerate(rows):
+                r["full"] = r["full"] / widest if widest > 0 and r["full"] is not None else 1.0
+                r["top"], r["bottom"] = k + 1, len(rows) - k
+            return (*at, rows)
+
         for b in batches:
             out = []
-            for raw in b.text:
+            for i, doc, no, region, line, raw, x2 in zip(*(b[c].tolist() for c in ("textline_id", *page, "region_id", "line_no", "text", "x2"))):
+                if (doc, no := whole(no)) != at:
+                    if rows:
+                        out.append(ended())
+                    at, rows, seen, widest = (doc, no), [], set(), 0.0
+                if i in seen:
+                    continue
+                seen.add(i)
+                x2 = None if x2 is None or x2 != x2 else float(x2)
+                widest = max(widest, x2 or 0.0)
                 t = form(raw) or ""
-                w = _WORD.findall(t)
-                out.append((w, broken(raw or ""), page_number(t), _HEADSHAPE.sub("", t).lower() if len(w) <= 14 else "", bool(_ENDED.search(t))))
-            x = pd.DataFrame(out, columns=["words", "hy", "pn", "key", "ended"], index=b.index)
-            x["pn"] = x["pn"].astype("Int32")
-            yield pd.concat([b.drop(columns="text"), x], axis=1)
+                pn, numbers, bars, frames, signs, digits = numbers_of(t)
+                rows.append({"id": i, "region": whole(region), "line": whole(line), "words": _WORD.findall(t), "sign": ending(raw), "pn": pn, "numbers": numbers, "bars": bars, "frames": frames, "signs": signs, "digits": digits, "key": _HEADSHAPE.sub("", t).lower(), "ended": bool(_ENDED.search(t)), "full": x2, "top": 0, "bottom": 0})
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "page_index", "lines"]).astype({"page_index": "Int32"})
+        if rows:
+            yield pd.DataFrame([ended()], columns=["doc_id", "page_index", "lines"]).astype({"page_index": "Int32"})
 
-    return lines.select("textline_id", "doc_id", "page_index", "region_id", "line_no", "text").mapInPandas(run, shape)
+    return x.mapInPandas(run, f"doc_id string, page_index int, lines array<{_LINE}>")
 
 
-def placed(lines: DataFrame) -> DataFrame:
-    """Lines counted once, with their place on the page from the top and the bottom. Windows are by page, so no task holds a document."""
-    page = ["doc_id", "page_index"]
-    d = read(lines.filter("textline_id is not null and text is not null")).repartition(*page).dropDuplicates([*page, "textline_id"])
-    order = ["region_id", "line_no", "textline_id"]
-    down = Window.partitionBy(*page).orderBy(*order)
-    up = Window.partitionBy(*page).orderBy(*[F.desc(c) for c in order])
-    return d.withColumn("top", F.row_number().over(down)).withColumn("bottom", F.row_number().over(up))
+def usual_offsets(numbered: DataFrame) -> DataFrame:
+    """(doc_id, usual, often): by how much most of a document's edge numbers are off their page's index, and on how many pages."""
+    by = numbered.filter("edge").groupBy("doc_id", "off").agg(F.count_distinct("page_index").alias("n"))
+    return by.groupBy("doc_id").agg(F.max_by("off", F.struct("n", -F.abs("off"))).alias("usual"), F.max("n").alias("often"))
+
+
+def _leaning(some: DataFrame, every: DataFrame, doubt: float = 0.0) -> np.ndarray:
+    """For each bucket of words the log ratio of its share among some lines to that among all. With `doubt`, so many words of no leaning are added to each bucket, so that words seen once tell nothing."""
+    flat = lambda x, n: x.select(F.explode("words").alias("w")).select(F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(BUCKETS)).alias("b")).groupBy("b").agg(F.count("*").alias(n))
+    got = gathered(flat(every, "n").join(flat(some, "m"), "b", "left"))
+    lean = np.zeros(BUCKETS)
+    at, n, m = got.b.to_numpy(dtype=np.int64), got.n.to_numpy(dtype=float), got.m.fillna(0).to_numpy(dtype=float)
+    share = max(1.0, m.sum()) / max(1.0, n.sum())
+    lean[at] = np.log((m + 0.1 + doubt * share) / (n + 0.1 + doubt)) - np.log(share)
+    return lean
+
+
+#: A line whose number goes along with its page is a page number if at least this share of lines of its shape do; chance alone brings rows of tables to less than half.
+SHAPE = 0.6
 
 
-def page_numbers(d: DataFrame) -> DataFrame:
-    """(textline_id) of lines that state the page's number: one more than its index, wherever they stand, or at the page's edge off by what most of the document's pages are off."""
+def page_numbers(lines: DataFrame) -> DataFrame:
+    """(textline_id, doc_id, page_index) of lines that state their page's number.
+
+    Candidates have a number and at most one word. In documents of which three and more pages have an
+    edge number off by the same, lines off by that teach a boosted classifier what page numbers look like (words, how
+    many numbers, other signs, place), all others what doesn't. A candidate has to look like one, and its
+    number to be one more than the page's index, or off by what is usual at its document's page edges.
+    """
     edge = (F.col("top") <= EDGE) | (F.col("bottom") <= EDGE)
-    x = d.filter(F.col("pn").isNotNull()).select("textline_id", "doc_id", "page_index", (F.col("pn") - F.col("page_index")).alias("off"), edge.alias("edge")).filter("edge or off = 1")
-    by = x.groupBy("doc_id", "off").agg(F.count_distinct("page_index").alias("n")).filter("n >= 3")
-    usual = by.groupBy("doc_id").agg(F.max_by("off", F.struct("n", -F.abs("off"))).alias("usual"))
-    return x.join(usual, "doc_id", "left").filter("off = 1 or off = usual").select("textline_id")
+    x = cut(lines.filter("pn is not null").select("textline_id", "doc_id", "page_index", "words", "numbers", "bars", "frames", "signs", "digits", "top", "bottom", (F.col("pn").cast("long") - F.col("page_index")).alias("off"), edge.alias("edge")))
+    x = x.join(usual_offsets(x), "doc_id", "left")
+    lean = _leaning(x.filter("often >= 3 and off = usual"), x, 50.0)
+
+    def features(b: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(b), 9))
+        for i, (w, n, bars, frames, signs, digits, t, u) in enumerate(zip(b.words, b.numbers, b.bars, b.frames, b.signs, b.digits, b.top, b.bottom)):
+            said = [lean[bucket(v)] for v in w if not _NUMBER.fullmatch(v)]
+            out[i] = (max(said, default=0), len(said), n, bars, frames, signs, min(digits, 9), min(t, 9), min(u, 9))
+        return out
+
+    s = sampled(x.filter("often >= 3"), "words", "off", "usual", "numbers", "bars", "frames", "signs", "digits", "top", "bottom")
+    model = Boost().fit(features(s), (s.off == s.usual).to_numpy(dtype=bool))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[model(features(b)) >= SHAPE if len(b) else []][["textline_id", "doc_id", "page_index"]]
 
+    agrees = x.filter("off = 1 or edge and often >= 3 and off = usual")
+    return agrees.mapInPandas(run, "textline_id long, doc_id string, page_index int")
 
-def heads(d: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(textline_id) of running heads and feet.
 
-    Candidates stand at the edge of a page and don't end a sentence. Those that come back on other pages
+def _nearly(once: DataFrame, firm: DataFrame) -> DataFrame:
+    """(textline_id, often): lines whose key is within a seventh of its length of a key that comes back in the document.
+
+    Of L // 7 + 1 even segments of such a key one stands unchanged in the other, so lines meet by document
+    and segment and not all by all. The least segments have three characters.
+    """
+    k = "floor(length(key) / 7)"
+    cut_ = f"transform(sequence(0L, {k}), i -> substring(key, cast(floor(i * length(key) / ({k} + 1)) + 1 as int), cast(floor((i + 1) * length(key) / ({k} + 1)) - floor(i * length(key) / ({k} + 1)) as int)))"
+    every = "array_distinct(flatten(transform(sequence(3, 7), n -> transform(sequence(1, greatest(1, length(firm) - n + 1)), i -> substring(firm, i, n)))))"
+    x = once.filter("length(key) >= 7").withColumn("g", F.explode(F.array_distinct(F.expr(cut_))))
+    y = firm.withColumn("g", F.explode(F.expr(every)))
+    near = x.join(y, ["doc_id", "g"]).filter(F.abs(F.length("key") - F.length("firm")) <= 6).select("textline_id", "key", "firm", "often").distinct()
+    return near.filter("levenshtein(key, firm) * 7 <= length(key)").groupBy("textline_id").agg(F.max("often").alias("often"))
+
+
+def heads(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """(textline_id, doc_id, page_index) of running heads and feet.
+
+    Candidates stand at the edge of a page and end neither a sentence nor with a number alone. Those that come back on other pages
     of their document, nearly the same, teach a boosted classifier what heads look like (words, place,
     length), which then also finds those of documents of one page and those spoilt by misreading.
     """
-    edge = d.filter(((F.col("top") <= EDGE) | (F.col("bottom") <= EDGE)) & ~F.col("ended") & ~F.col("hy") & F.col("pn").isNull() & (F.length("key") >= 6))
-    edge = cut(edge.select("textline_id", "doc_id", "page_index", "key", "words", "top", "bottom"))
-    pages = d.groupBy("doc_id").agg(F.count_distinct("page_index").alias("pages"))
+    edge = cut(lines.filter(((F.col("top") <= EDGE) | (F.col("bottom") <= EDGE)) & ~F.col("ended") & ~F.col("sign").isin(45, 0x2010, 0x2011, 0xAD, 0xAC) & (F.col("pn").isNull() | (F.col("signs") > 0) | (F.col("numbers") > 2)) & (F.length("key") >= 6)).select("textline_id", "doc_id", "page_index", "key", "words", "top", "bottom"))
+    n = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
     same = edge.groupBy("doc_id", "key").agg(F.count_distinct("page_index").alias("same"))
-    c = edge.join(same, ["doc_id", "key"]).join(pages, "doc_id")
-    firm = same.filter("same >= 2").select("doc_id", F.col("key").alias("firm"), F.col("same").alias("often"))
-    near = c.filter("same = 1").select("textline_id", "doc_id", "key").join(firm, "doc_id").filter(F.abs(F.length("key") - F.length("firm")) <= 6).filter(F.expr("levenshtein(key, firm) * 7 <= length(key)"))
-    near = near.groupBy("textline_id").agg(F.max("often").alias("often"))
+    c = edge.join(same, ["doc_id", "key"]).join(n, "doc_id")
+    near = _nearly(c.filter("same = 1").select("textline_id", "doc_id", "key"), same.filter("same >= 2").select("doc_id", F.col("key").alias("firm"), F.col("same").alias("often")))
     c = c.join(near, "textline_id", "left").withColumn("back", F.greatest("same", F.coalesce("often", F.lit(1))))
-    c = cut(c.select("textline_id", "words", "top", "bottom", "back", "pages"))
-    # shares of words among lines that come back, and among all
-    flat = lambda x, n: x.select(F.explode("words").alias("w")).select(F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(BUCKETS)).alias("b")).groupBy("b").agg(F.count("*").alias(n))
-    got = flat(d, "n").join(flat(c.filter("back >= 3 or back = 2 and pages <= 4"), "m"), "b", "left").toPandas()
-    lean = np.zeros(BUCKETS)
-    at, n, m = got.b.to_numpy(dtype=np.int64), got.n.to_numpy(dtype=float), got.m.fillna(0).to_numpy(dtype=float)
-    lean[at] = np.log((m + 0.1) / max(1.0, m.sum())) - np.log((n + 0.1) / max(1.0, n.sum()))
+    c = cut(c.select("textline_id", "doc_id", "page_index", "words", "top", "bottom", "back", "pages"))
+    lean = _leaning(c.filter("back >= 3 or back = 2 and pages <= 4"), lines)
 
     def features(b: pd.DataFrame) -> np.ndarray:
         out = np.zeros((len(b), 6))
@@ -154,9 +220,69 @@ def heads(d: DataFrame, numbers: DataFrame) -> DataFrame:
         for b in batches:
             p = model(features(b)) if len(b) else np.zeros(0)
             ok = (p > 0.5) | (b.back.to_numpy() >= 2) & (p >= 0.2)
-            yield b[ok][["textline_id"]]
+            yield b[ok][["textline_id", "doc_id", "page_index"]]
+
+    return c.mapInPandas(run, "textline_id long, doc_id string, page_index int")
+
+
+def body_lines(pages: DataFrame, furniture: DataFrame) -> DataFrame:
+    """(textline_id, doc_id, page_index, region_id, line_no, rank, words, sign, ended, full, next_id, next_word): the lines that aren't furniture, with the one after each, on the next page too."""
+    page = ["doc_id", "page_index"]
+    off = furniture.groupBy(*page).agg(F.collect_set("textline_id").alias("off"))
+    keep = pages.join(off, page, "left").select(*page, F.filter("lines", lambda x: F.col("off").isNull() | ~F.array_contains("off", x["id"])).alias("lines"))
+    word = lambda x: F.try_element_at(x["words"], F.lit(1))
+    tops = keep.filter("size(lines) > 0").select("doc_id", (F.col("page_index") - 1).alias("page_index"), F.col("lines")[0]["id"].alias("over_id"), word(F.col("lines")[0]).alias("over_word"))
+    rows = keep.select(*page, F.posexplode("lines").alias("k", "x"), F.size("lines").alias("n"), "lines")
+    follow = F.when(F.col("k") + 1 < F.col("n"), F.get("lines", F.col("k") + 1))
+    rows = rows.select("x.id", *page, "x.region", "x.line", "k", "n", "x.words", "x.sign", "x.ended", "x.full", follow["id"].alias("next_id"), word(follow).alias("next_word"))
+    rows = cut(rows.toDF("textline_id", *page, "region_id", "line_no", "rank", "n", "words", "sign", "ended", "full", "next_id", "next_word"))
+    last = rows.filter("rank + 1 = n").join(tops, page, "left").withColumns({"next_id": F.col("over_id"), "next_word": F.col("over_word")}).drop("over_id", "over_word")
+    return rows.filter("rank + 1 < n").unionByName(last).drop("n")
+
+
+# Signs that part a word at the end of a line.
+HYPHENS = "-‐‑­¬"
 
-    return c.mapInPandas(run, "textline_id long")
+
+def _ends(sign: np.ndarray, ended: np.ndarray, full: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What the classifier of line pairs sees: which sign stands at the end, whether a sentence ends there, how full the line is, the lengths of the last and the next word."""
+    known = np.array([ord(c) for c in HYPHENS])
+    return np.column_stack([*(sign == c for c in known), (sign == 0x2013) | (sign == 0x2014), (sign > 0) & ~np.isin(sign, [*known, 0x2013, 0x2014]), ended, full, np.minimum(a, 9), np.minimum(b, 9)]).astype(float)
+
+
+def broken(body: DataFrame) -> DataFrame:
+    """(textline_id, next_id, goes_on) of body lines whose last word goes on in the next line: a boosted classifier of line pairs.
+
+    It is taught by pairs of which the joined word is known from inside of lines and its first part is rarer there, and
+    by pairs whose parts are both known and the joined word isn't; further by words of whole lines, broken
+    by each of the usual signs. Pairs with a sign at the line's end are sampled apart from those without, as they are few.
+    """
+    pairs = body.filter("next_word is not null and size(words) > 0").select("textline_id", "next_id", F.element_at("words", -1).alias("a"), F.col("next_word").alias("b"), "sign", "ended", "full")
+    pairs = pairs.filter(~F.col("a").rlike("^[0-9०-९]+$") & ~F.col("b").rlike("^[0-9०-९]+$"))
+    cols = ["a", "b", "sign", "ended", "full"]
+    s = pd.concat([sampled(pairs.filter("sign > 0"), *cols), sampled(pairs.filter("sign = 0"), *cols)], ignore_index=True)
+    ask = sorted({*s.a, *s.b, *(s.a + s.b)})  # bounded by the samples
+    asked = body.sparkSession.createDataFrame(pd.DataFrame({"w": pd.Series(ask, dtype=object)}), "w string")
+    have = {r.w: r.n for r in body.select(F.explode(F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))).alias("w")).join(F.broadcast(asked), "w").groupBy("w").agg(F.count("*").alias("n")).collect()} if ask else {}
+    n = lambda ws: np.array([have.get(w, 0) for w in ws])
+    na, nb, nab = n(s.a), n(s.b), n(s.a + s.b)
+    yes, no = (nab >= LEAST) & (nab > na), (nab == 0) & (na >= LEAST) & (nb >= LEAST)
+    see = lambda x, sign: _ends(sign, x.ended.to_numpy(dtype=float), x.full.to_numpy(dtype=float), x.a.str.len().to_numpy(dtype=float), x.b.str.len().to_numpy(dtype=float))
+    # whole lines without a sign: what is not known to be broken isn't; the same lines with a sign are broken. Few lines are taken several times
+    plain = s[(s.sign == 0) & (nab == 0)]
+    plain = plain.iloc[np.resize(np.arange(len(plain)), max(len(plain), 400 * bool(len(plain))))]
+    made = [see(p, np.full(len(p), ord(c))) for i, c in enumerate(HYPHENS) if len(p := plain.iloc[i :: len(HYPHENS) * 2])]
+    x = np.concatenate([see(s, s.sign.to_numpy()), see(plain, np.zeros(len(plain))), *made])
+    y = np.concatenate([yes, np.zeros(len(plain), bool), np.ones(sum(map(len, made)), bool)])
+    keep = np.concatenate([yes | no, np.ones(len(y) - len(s), bool)])
+    model = Boost().fit(x[keep], y[keep])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = b[model(see(b, b.sign.to_numpy())) > 0.5 if len(b) else []]
+            yield pd.DataFrame({"textline_id": x.textline_id, "next_id": x.next_id, "goes_on": x.b})
+
+    return pairs.mapInPandas(run, "textline_id long, next_id long, goes_on string")
 
 
 def grams2(w: str) -> list[str]:
@@ -196,15 +322,14 @@ def changes(w: str, v: str) -> list[tuple[str, str, float]]:
     return [tuple(x) for x in out[::-1]]
 
 
-def candidates(counts: DataFrame, lines: int) -> DataFrame:
+def candidates(counts: DataFrame) -> DataFrame:
     """(w, n, v, nv, kinds, place): every word with each frequent word within its edits, RATIO times as frequent."""
-    least = max(LEAST, int(SHARE * lines))
-    common = counts.filter((F.col("n") >= least) & (F.length("w") >= 3) & ~F.col("w").rlike("[0-9०-९!|$@]"))
+    common = counts.filter((F.col("n") >= LEAST) & (F.length("w") >= 3) & ~F.col("w").rlike("[0-9०-९!|$@]"))
 
     grams = "array_distinct(transform(sequence(1, length(w) + 1), i -> substring(concat('^', w, '$'), i, 2)))"
     index = common.withColumn("g", F.explode(F.expr(grams))).select("g", F.col("w").alias("v"), F.col("n").alias("nv"))
     df = np.zeros(BUCKETS, np.int64)
-    got = index.select(F.pmod(F.crc32(F.col("g").cast("binary")), F.lit(BUCKETS)).alias("b")).groupBy("b").count().toPandas()
+    got = gathered(index.select(F.pmod(F.crc32(F.col("g").cast("binary")), F.lit(BUCKETS)).alias("b")).groupBy("b").count())
     df[got.b.to_numpy(dtype=np.int64)] = got["count"].to_numpy(dtype=np.int64)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,14 +370,14 @@ def pair_features(b: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def misread(words: DataFrame, counts: DataFrame, lines: int) -> DataFrame:
+def misread(words: DataFrame, counts: DataFrame) -> DataFrame:
     """(w, v): misread words with the word chosen for each.
 
     `words` has each line's words (doc_id, textline_id, words). The ranker is fitted on pairs found in a
     bounded sample of lines: true if the frequent word also stands next to one of the same neighbours there,
     false if it never does though a neighbour is frequent; names as neighbours say nothing.
     """
-    pairs = candidates(counts, lines)
+    pairs = candidates(counts)
     kinds = pairs.select("v", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count_distinct("v").alias("spread"))
     spread = pairs.select("w", "v", F.explode("kinds").alias("kind")).join(kinds, "kind").groupBy("w", "v").agg(F.min("spread").alias("spread"))
     pairs = cut(pairs.join(spread, ["w", "v"]))
@@ -267,7 +392,7 @@ def misread(words: DataFrame, counts: DataFrame, lines: int) -> DataFrame:
         for a, b, c in zip(["", *ws], ws, [*ws[1:], ""]):
             where[b].append((a, c))
     seen = pairs.sparkSession.createDataFrame([(w,) for w in where], "w string")  # bounded by the sample
-    s = pairs.join(seen, "w").toPandas()
+    s = gathered(pairs.join(seen, "w"))
     label = np.full(len(s), -1)
     for i, (w, v) in enumerate(zip(s.w, s.v)):
         ev = [1 if after[x] > 1 else -1 if one[y] >= 20 and not after[x] else 0 for a, c in where[w] for x, y in (((a, v), a), ((v, c), c))]
@@ -282,45 +407,54 @@ def misread(words: DataFrame, counts: DataFrame, lines: int) -> DataFrame:
 
 
 def analysed(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(textline_id, noise_kind) of all noise, the misread words with their replacements, and the body lines with what goes on in the next.
+    """(textline_id, noise_kind) of all noise, the misread words (w, v) with their replacements, and the body lines with what goes on in the next (`goes_on`) and whether they go on from the one before (`cont`).
 
     `lines` is as textline. Rows with null ids or null text are left out; blank lines have no noise.
     """
-    d = cut(placed(lines))
-    numbers = cut(page_numbers(d))
-    head = cut(heads(d, numbers))
-    tag = numbers.select("textline_id", F.lit("page_no").alias("kind")).unionByName(head.select("textline_id", F.lit("header").alias("kind")))
-    x = d.join(tag, "textline_id", "left")
-    body = x.filter("kind is null")
-    page = ["doc_id", "page_index"]
-    w = Window.partitionBy(*page).orderBy("region_id", "line_no", "textline_id")
-    first = F.col("words")[0]
-    body = body.withColumn("after", F.lead(F.struct("textline_id", F.try_element_at("words", F.lit(1)).alias("word"))).over(w)).withColumn("hy_before", F.lag("hy").over(w)).withColumn("rank", F.row_number().over(w))
-    # across pages: the last line of a page goes on in the first body line of the next
-    tops = body.filter("rank = 1").select("doc_id", (F.col("page_index") - 1).alias("page_index"), F.struct("textline_id", F.try_element_at("words", F.lit(1)).alias("word")).alias("over"))
-    body = body.join(tops, page, "left").withColumn("over_", F.when(F.col("after").isNull(), F.col("over"))).withColumn("next", F.coalesce("after", "over_")).drop("after", "over", "over_")
-    ends = body.filter("hy and next is not null").select(F.col("next.textline_id").alias("textline_id"), F.lit(True).alias("cont"))
-    body = cut(body.select("textline_id", "doc_id", "page_index", "region_id", "line_no", "words", (F.col("hy") & F.col("next.word").isNotNull()).alias("hy"), F.col("next.word").alias("goes_on")).join(ends.distinct(), "textline_id", "left"))
+    pages = cut(read(lines))
+    every = pages.select("doc_id", "page_index", F.explode("lines").alias("x")).select(F.col("x.id").alias("textline_id"), "doc_id", "page_index", *[F.col(f"x.{c}") for c in _NAMES[1:]])
+    furniture = cut(page_numbers(every).withColumn("kind", F.lit("page_no")).unionByName(heads(every, pages).withColumn("kind", F.lit("header"))))
+    body = body_lines(pages, furniture)
+    parted = cut(broken(body))
+    body = body.join(parted.select("textline_id", "goes_on"), "textline_id", "left").join(parted.select(F.col("next_id").alias("textline_id"), F.lit(True).alias("cont")).distinct(), "textline_id", "left")
+    body = cut(body.withColumn("cont", F.coalesce("cont", F.lit(False))).drop("next_id", "next_word", "sign"))
     # whole words only: parts of broken ones are left out
     n = F.size("words")
-    whole = body.withColumn("words", F.filter("words", lambda z, i: ~((i == 0) & F.coalesce("cont", F.lit(False))) & ~((i == n - 1) & F.col("hy")) & ~z.rlike("^[0-9०-९]+$")))
+    whole = body.select("textline_id", F.filter("words", lambda z, i: ~((i == 0) & F.col("cont")) & ~((i == n - 1) & F.col("goes_on").isNotNull()) & ~z.rlike("^[0-9०-९]+$")).alias("words"))
     counts = cut(whole.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")))
-    wrong = cut(misread(whole, counts, body.count()))
-    hit = whole.select("textline_id", F.explode("words").alias("w")).join(wrong, "w").select("textline_id").distinct()
-    kinds = tag.unionByName(body.filter("hy").select("textline_id", F.lit("hyphen").alias("kind"))).unionByName(hit.select("textline_id", F.lit("misread").alias("kind")))
-    return kinds.select("textline_id", F.col("kind").alias("noise_kind")).distinct(), wrong, body
+    wrong = cut(misread(whole, counts))
+    few = F.broadcast(wrong) if wrong.count() <= SPREAD else wrong
+    hit = whole.select("textline_id", F.explode("words").alias("w")).join(few, "w").select("textline_id").distinct()
+    kinds = furniture.select("textline_id", "kind").unionByName(parted.select("textline_id", F.lit("hyphen").alias("kind"))).unionByName(hit.select("textline_id", F.lit("misread").alias("kind")))
+    return kinds.select("textline_id", F.col("kind").alias("noise_kind")).distinct(), few, body
+
+
+#: From this share of its page's widest line on a line is full: one that ends no sentence there goes on in the next region.
+FULL = 0.8
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
-    """(doc_id, page_index, region_id, paragraph): the text of each region without furniture, broken words whole, misread words replaced.
+    """(doc_id, paragraph, page_index, region_id, text): each document's text as continuous paragraphs, numbered by their first line's id and placed by it: no furniture, broken words whole, misread words replaced.
 
-    A broken word is put where it begins; the region in which it ends starts with the next word. Only
-    a region's lines are brought together in one place. Punctuation and blanks stay as they were.
+    A paragraph goes on over regions and pages where the line before breaks a word, or is full and ends no
+    sentence. A broken word is put where it begins. Punctuation and blanks stay as they were. Only a
+    paragraph's lines are brought together in one place; where paragraphs begin is handed on from page to page by a
+    window over pages, not lines.
     """
     _, wrong, body = analysed(lines)
+    page = ["doc_id", "page_index"]
+    here = Window.partitionBy(*page).orderBy("rank")
+    on = F.col("goes_on").isNotNull() | (~F.col("ended") & (F.col("full") >= FULL))
+    body = body.withColumn("on", on).withColumn("new", (F.col("rank") > 0) & (F.lag("region_id").over(here) != F.col("region_id")) & ~F.coalesce(F.lag("on").over(here), F.lit(True)))
+    ends = body.groupBy(*page).agg(F.max_by("on", "rank").alias("on"), F.min_by("textline_id", "rank").alias("first"), F.max_by(F.when(F.col("new"), F.col("textline_id")), F.when(F.col("new"), F.col("rank"))).alias("last"))
+    doc = Window.partitionBy("doc_id").orderBy("page_index")
+    start = ~F.coalesce(F.lag("on").over(doc), F.lit(False))  # the page's first line begins a paragraph
+    ends = ends.withColumn("start", start).withColumn("open", F.coalesce("last", F.when(F.col("start"), F.col("first"))))
+    ends = ends.withColumn("from", F.when(F.col("start"), F.col("first")).otherwise(F.coalesce(F.last("open", ignorenulls=True).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.col("first"))))
     fixed = body.select("textline_id", F.explode("words").alias("w")).join(wrong, "w").groupBy("textline_id").agg(F.map_from_entries(F.collect_set(F.struct("w", "v"))).alias("swap"))
     text = lines.filter("textline_id is not null and text is not null").groupBy("textline_id").agg(F.min("text").alias("text"))
-    d = body.join(text, "textline_id").join(fixed, "textline_id", "left").select("doc_id", "page_index", "region_id", "line_no", "textline_id", "text", "hy", "goes_on", F.coalesce("cont", F.lit(False)).alias("cont"), F.map_entries(F.coalesce("swap", F.expr("map()").cast("map<string,string>"))).alias("swap"))
+    d = body.join(ends.select(*page, "from"), page).withColumn("paragraph", F.coalesce(F.last(F.when(F.col("new"), F.col("textline_id")), ignorenulls=True).over(here), F.col("from")))
+    d = d.join(text, "textline_id").join(fixed, "textline_id", "left").select("doc_id", "paragraph", "page_index", "region_id", "rank", "textline_id", "text", F.col("goes_on").isNotNull().alias("hy"), "goes_on", "cont", F.map_entries(F.coalesce("swap", F.expr("map()").cast("map<string,string>"))).alias("swap"))
 
     @F.pandas_udf("string")
     def mend(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -339,5 +473,5 @@ def paragraphs(lines: DataFrame) -> DataFrame:
             yield pd.Series(out, dtype=object)
 
     d = d.withColumn("text", mend("text", "hy", "goes_on", "cont", "swap"))
-    by = d.groupBy("doc_id", "page_index", "region_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "textline_id", "text"))).alias("x"))
-    return by.select("doc_id", "page_index", "region_id", F.array_join(F.filter(F.transform("x", lambda z: z["text"]), lambda t: t != ""), " ").alias("paragraph"))
+    by = d.groupBy("doc_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page_index", "rank", "region_id", "text"))).alias("x"))
+    return by.select("doc_id", "paragraph", F.col("x")[0]["page_index"].alias("page_index"), F.col("x")[0]["region_id"].alias("region_id"), F.array_join(F.filter(F.transform("x", lambda z: z["text"]), lambda t: t != ""), " ").alias("text"))

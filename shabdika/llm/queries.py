@@ -250,7 +250,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Continuous text of every region: no furniture, no broken words, misread words replaced."""
+    """Continuous paragraphs of every document: no furniture, no broken words, misread words replaced."""
     return ocrtext.paragraphs(table(spark, d, "textline"))
 
 
