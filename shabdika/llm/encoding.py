@@ -75,7 +75,7 @@ def _spans(runs: list[tuple[int, str]], page: str) -> tuple[int, list[tuple[int,
     return n, found
 
 
-def restore(text: str | None, rounds: int = 4) -> tuple[str | None, int, int]:
+def restore(text: str | None) -> tuple[str | None, int, int]:
     """The text with garbled spans decoded, the number of spans and of characters lost for good.
 
     Null stays null. A text without garbling comes back as it is, with 0 spans. A span counts only if
@@ -85,7 +85,7 @@ def restore(text: str | None, rounds: int = 4) -> tuple[str | None, int, int]:
     if not text:
         return text, 0, 0
     now, spans = text, 0
-    for _ in range(rounds):
+    while True:  # each round shortens the text, so it ends
         runs = [(m.start(), m[0]) for m in _RUN.finditer(now)]
         if not runs:
             break
@@ -104,7 +104,7 @@ def restore(text: str | None, rounds: int = 4) -> tuple[str | None, int, int]:
             nxt += [now[at:a], plain]
             at = b
         after = "".join([*nxt, now[at:]])
-        if not spans and not any(_MEANT.search(p) for _, _, p in best[1]) and restore(after, rounds - 1)[1] == 0:
+        if not spans and not any(_MEANT.search(p) for _, _, p in best[1]) and restore(after)[1] == 0:
             break
         spans, now = max(spans, len(best[1])), after
     lost = now.count("�")

@@ -324,8 +324,8 @@ def spans(text: str | None, words: Words, wrapped: bool = False) -> list[tuple[i
     for (a, b), h, c in zip(runs, has, conf):
         if h.any():
             k = int(np.argmax(np.where(h, c, -1)))
-            if out and (out[-1][2] == LANGUAGES[k] or len(text[a:b].split()) < SENTENCE):
-                out[-1][1], out[-1][3] = b, max(out[-1][3], float(c[k])) if out[-1][2] == LANGUAGES[k] else out[-1][3]
+            if out and out[-1][2] == LANGUAGES[k]:
+                out[-1][1], out[-1][3] = b, max(out[-1][3], float(c[k]))
             else:
                 out.append([a, b, LANGUAGES[k], float(c[k])])
     return [tuple(x) for x in out]

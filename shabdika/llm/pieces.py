@@ -49,33 +49,45 @@ def tree(bounds: list[float], text: str | None) -> list[list[tuple[float, float]
     return [p for p in out if p]
 
 
+def ends(node: object) -> tuple[float, float]:
+    """Where a subtree begins and ends."""
+    return node if isinstance(node, tuple) else (ends(node[0])[0], ends(node[-1])[1])
+
+
+def widest(node: object) -> float:
+    """The width of the widest leaf."""
+    return node[1] - node[0] if isinstance(node, tuple) else max(map(widest, node))
+
+
 def pack(nodes: list, room: float, first: float) -> list[tuple[float, float, bool]]:
     """Spans of pieces, and if their end is cut inside a word. `room` is the limit less the overlap, `first` that of the first piece.
 
-    A node is a span, or a list of nodes. Neighbouring nodes are merged while they fit.
+    A node is a span, or a list of nodes. Bottom-up: a subtree that fits is one piece; of one that doesn't,
+    the children's pieces are put together, neighbours merged while they fit; a leaf too wide is cut.
     """
-    out: list[tuple[float, float, bool]] = []
-
-    def ends(n: object) -> tuple[float, float]:
-        return n if isinstance(n, tuple) else (ends(n[0])[0], ends(n[-1])[1])
+    start = ends(nodes)[0]
+    most = lambda a: (first if a == start else room) + 1e-9
 
-    def put(n: object) -> None:
+    def packed(n: object) -> list[tuple[float, float, bool]]:
         a, b = ends(n)
-        if out and not out[-1][2] and b - out[-1][0] <= (room if len(out) > 1 else first) + 1e-9:
-            out[-1] = (out[-1][0], b, False)
-        elif b - a <= (room if out else first) + 1e-9:
-            out.append((a, b, False))
-        elif isinstance(n, list):
-            for x in n:
-                put(x)
-        else:
-            while b - a > (r := room if out else first) + 1e-9:
+        if b - a <= most(a):
+            return [(a, b, False)]
+        if isinstance(n, tuple):
+            out = []
+            while b - a > most(a):
+                r = most(a) - 1e-9
                 out.append((a, a + r, True))
                 a += r
-            out.append((a, b, False))
+            return [*out, (a, b, False)]
+        out = []
+        for piece in (p for child in n for p in packed(child)):
+            if out and not out[-1][2] and piece[1] - out[-1][0] <= most(out[-1][0]):
+                out[-1] = (out[-1][0], piece[1], piece[2])
+            else:
+                out.append(piece)
+        return out
 
-    put(nodes)
-    return out
+    return packed(nodes)
 
 
 def cut_row(w32: int, width: int | None, height: int | None, gaps: list[int] | None, text: str | None, limit: int, overlap: int) -> tuple[str, list[tuple[float, float, str]]]:
@@ -88,8 +100,9 @@ def cut_row(w32: int, width: int | None, height: int | None, gaps: list[int] | N
     k = scale(width, height, w32, gaps, text)
     right = width * k if width and width > 0 else float(w32)
     bounds = [0.0, *[g * k for g in gaps if g * k < right], right]
-    kind = "hard" if any(b - a > limit + 1e-9 for a, b in zip(bounds, bounds[1:])) else "gap"
-    spans = pack(tree(bounds, text), limit - overlap, limit)
+    nodes = tree(bounds, text)
+    kind = "hard" if widest(nodes) > limit + 1e-9 else "gap"
+    spans = pack(nodes, limit - overlap, limit)
     return kind, [(max(0.0, a - (overlap if i else 0)), b, "end" if i == len(spans) - 1 else "inside" if inside else "blank") for i, (a, b, inside) in enumerate(spans)]
 
 
